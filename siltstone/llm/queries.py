@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, langid, simhash, superkmer
+from siltstone.llm import bpe, decontam, langid, simhash, superkmer
 from siltstone.llm._common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -35,13 +35,17 @@ def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op6_superkmer_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op6_superkmer_dedup, op7_spaced_seeds, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
