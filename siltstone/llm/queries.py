@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontam, langid, simhash, superkmer
+from siltstone.llm import bpe, decontam, langid, simhash, suffix, superkmer
 from siltstone.llm._common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), rank_path())
 
@@ -45,7 +49,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op6_superkmer_dedup, op7_spaced_seeds, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_byte_bpe, op6_superkmer_dedup, op7_spaced_seeds, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
