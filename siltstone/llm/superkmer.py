@@ -5,10 +5,10 @@ A window is ``k`` consecutive words of one document. Its minimiser is the least
 minimiser travel as one packed string to the minimiser's bucket; there the windows of strings that
 share a minimiser are sorted and counted, byte for byte.
 
-What repeats within one block of a map task is decided at once, and only one representative
-travels. Minimisers that are frequent in a bounded sample of the documents are hot: their
-windows are dealt one by one, by a hash of the whole window, so that they spread over all buckets.
-The sample only steers where windows go; it has no part in what is counted.
+First the minimisers alone are counted: strings whose minimiser occurs once hold no repeated window
+and never travel. What repeats within one block of a map task is decided at once, and only one
+representative travels. The windows of very frequent minimisers are dealt one by one, by a hash of the
+whole window, so that they spread over all buckets.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import content_key, shuffle_partitions
+from siltstone.llm._common import content_key, shuffle_partitions, stored
 
 WINDOW = 35
 RUN = 6
 #: Bytes of text that a map task handles at once, and windows that a bucket sorts at once.
-BLOCK = 6_000_000
+BLOCK = 4_000_000
 SORTED_AT_ONCE = 150_000
+#: Minimisers of more strings than this have their windows dealt one by one.
+HOT = 20_000
 _P, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -56,13 +58,10 @@ class Block:
     """The words of some documents, and their super-k-mers."""
 
     def __init__(self, texts: list[str | None], k: int = WINDOW, m: int = RUN):
-        self.k = k
         split = [(t or "").encode().split() for t in texts]
         self.counts = np.fromiter(map(len, split), np.int64, len(split))
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         words = [w for ws in split for w in ws]
-        self.joined = b" ".join(words)
-        self.at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
         self.start = self.n = np.zeros(0, np.int64)
         self.minimiser = np.zeros(0, np.uint64)
         self.twice = np.zeros(0, bool)
@@ -100,9 +99,6 @@ class Block:
         with np.errstate(over="ignore"):
             self.minimiser = _mix(self.minimiser * _P)  # a minimum is small; spread it again
 
-    def packed(self, start: int, n: int) -> bytes:
-        return self.joined[self.at[start] : self.at[start + n + self.k - 1] - 1]
-
     def document(self, start: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, start, "right") - 1
 
@@ -185,112 +181,95 @@ def _merge(k1, k2, first, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, first, stop)], names=["k1", "k2", "first", "stop"])
 
 
-def hot_minimisers(docs: DataFrame, k: int = WINDOW, m: int = RUN, max_sample: int = 2_000, share: float = 0.01) -> np.ndarray:
-    """Minimisers in more than ``share`` of a sample of at most about ``max_sample`` documents (by a hash of
-    key). At most 100 x ``share``^-1 values; only they reach the driver."""
-    n = docs.count()
-    if not n:
-        return np.zeros(0, np.uint64)
-    part = max(1, n // max_sample)
-    sample = docs.where(F.pmod(F.xxhash64("k1", "k2", F.lit("hot")), F.lit(part)) == 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(Block([text], k, m).minimiser).view(np.int64))], names=["minimiser"])
-
-    often = max(20, int(share * n / part))
-    found = sample.select("text").mapInArrow(run, "minimiser bigint").groupBy("minimiser").count()
-    found = found.where(F.col("count") >= often).orderBy(F.desc("count"), "minimiser").limit(int(100 / share))
-    return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str | None], list[list]]]:
+    """The texts (column 2) of some rows, up to BLOCK bytes or one row, and the other columns' values."""
+    texts, rows, size = [], [], 0
+    for batch in batches:
+        others = [c for i, c in enumerate(batch.columns) if i != 2]
+        for i in range(batch.num_rows):
+            texts.append(batch.column(2)[i].as_py())
+            rows.append([c[i].as_py() for c in others])
+            size += len(texts[-1] or "")
+            if size > BLOCK:
+                yield texts, rows
+                texts, rows, size = [], [], 0
+    if texts:
+        yield texts, rows
 
 
 def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = RUN) -> DataFrame:
-    """(k1, k2, first, stop): ranges of words covered by repeated windows, for rows (k1, k2, text)."""
-    spark = docs.sparkSession
-    partitions = shuffle_partitions(spark)
-    buckets = partitions * 8
-    hot_shared = spark.sparkContext.broadcast(hot_minimisers(docs, k, m))
-
-    def pack(texts, k1, k2, hot) -> Iterator[tuple[int, bytes]]:
-        block = Block(texts, k, m)
-        k1, k2 = np.array(k1, np.int64), np.array(k2, np.int64)
-        start, n, key, twice = block.start, block.n, block.minimiser, block.twice
-        doc = block.document(start)
+    """(k1, k2, first, stop): ranges of words covered by repeated windows, for rows (k1, k2, text, ...)."""
+    partitions = shuffle_partitions(docs.sparkSession)
+    buckets = partitions * 4
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, rows in _texts(batches):
+            block = Block(texts, k, m)
+            own = block.document(block.start)
+            key = np.array(rows, np.int64)
+            columns = (key[own, 0], key[own, 1], block.start - block.first[own], block.n, block.minimiser.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(block.twice)], names=["k1", "k2", "start", "n", "minimiser", "twice"])
+
+    every = stored(docs.select("k1", "k2", "text").mapInArrow(find, "k1 bigint, k2 bigint, start bigint, n bigint, minimiser bigint, twice boolean"))
+    known = every.groupBy("minimiser").agg(F.count(F.lit(1)).alias("m"), F.max("twice").alias("t")).where("m > 1 or t")
+    known = known.select("minimiser", (F.col("m") > HOT).alias("hot"))
+    lists = every.join(known, "minimiser").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "minimiser", "twice", "hot")).alias("l"))
+    names = ["l.start", "l.n", "l.minimiser", "l.twice", "l.hot"]
+    # all columns of docs are read, so that the texts are dealt in the same way as for the join that follows
+    given = docs.join(lists, ["k1", "k2"]).select("k1", "k2", "text", *names, *docs.columns[3:])
+
+    def pack(texts: list[str | None], rows: list[list]) -> Iterator[tuple[int, bytes]]:
         where: dict[bytes, int] = {}
-        known = np.zeros(len(start), bool)
-        again: list[int] = []
         strings: list[bytes] = []
-        keep: list[int] = []
+        kept: list[list] = []  # minimiser, k1, k2, start, windows, 1 if known to repeat | 2 if its minimiser is in it twice
+        again: list[tuple] = []
 
-        def take(i: int, s: bytes) -> None:
-            j = where.setdefault(s, len(keep))
-            if j == len(keep):
-                keep.append(i)
+        def take(s: bytes, key: int, k1: int, k2: int, start: int, n: int, twice: int) -> None:
+            j = where.setdefault(s, len(strings))
+            if j == len(strings):
                 strings.append(s)
+                kept.append([key, k1, k2, start, n, twice])
             else:
-                known[keep[j]] = True
-                again.append(i)
-
-        if len(hot):
-            is_hot = np.isin(key, hot)
-            cut = np.flatnonzero(is_hot)
-            lone = np.concatenate([np.arange(start[i], start[i] + n[i]) for i in cut]) if len(cut) else np.zeros(0, np.int64)
-            start = np.concatenate([start[~is_hot], lone])
-            n = np.concatenate([n[~is_hot], np.ones(len(lone), np.int64)])
-            own = np.array([xxhash.xxh64_intdigest(block.packed(i, 1)) for i in lone.tolist()], np.uint64)
-            key = np.concatenate([key[~is_hot], own])
-            twice = np.concatenate([twice[~is_hot], np.zeros(len(lone), bool)])
-            doc = block.document(start)
-            known = np.zeros(len(start), bool)
-        for i, (a, c) in enumerate(zip(start.tolist(), n.tolist(), strict=True)):
-            take(i, block.packed(a, c))
-        kept = np.array(keep, np.int64)
-        decided = np.concatenate([np.array(again, np.int64), kept[known[kept]]])
-        base = block.first[doc]
-        if len(decided):
-            d = decided
-            r = _merge(k1[doc[d]], k2[doc[d]], start[d] - base[d], start[d] - base[d] + n[d] + k - 1)
+                kept[j][5] |= 1
+                again.append((k1, k2, start, start + n + k - 1))
+
+        for text, (k1, k2, starts, ns, keys, twices, hots, *_) in zip(texts, rows, strict=True):
+            words = (text or "").encode().split()
+            joined = b" ".join(words)
+            at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]).tolist()
+            for start, n, key, twice, hot in zip(starts, ns, keys, twices, hots, strict=True):
+                if hot:
+                    for i in range(start, start + n):
+                        s = joined[at[i] : at[i + k] - 1]
+                        take(s, xxhash.xxh64_intdigest(s), k1, k2, i, 1, 0)
+                else:
+                    take(joined[at[start] : at[start + n + k - 1] - 1], key & 0xFFFFFFFFFFFFFFFF, k1, k2, start, n, 2 * twice)
+        again += [(k1, k2, start, start + n + k - 1) for _, k1, k2, start, n, mark in kept if mark & 1]
+        if again:
+            r = _merge(*zip(*again, strict=True))
             cols = [c.to_numpy() for c in r.columns]
-            yield -1 - int(cols[0][0]) % buckets, zstandard.compress(b"".join(c.astype("<i8").tobytes() for c in cols))
-        bucket = (key[kept] % np.uint64(buckets)).astype(np.int64)
+            yield -1 - int(cols[1][0]) % buckets, zstandard.compress(b"".join(c.astype("<i8").tobytes() for c in cols))
+        if not strings:
+            return
+        key = np.array([x[0] for x in kept], np.uint64)
+        columns = [np.array(c, np.int64) for c in list(zip(*kept, strict=True))[1:]]
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else []
+        edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             js = order[a:b]
-            i = kept[js]
-            yield int(bucket[js[0]]), _blob(key[i], k1[doc[i]], k2[doc[i]], start[i] - base[i], n[i], known[i] + 2 * twice[i], [strings[j] for j in js])
+            yield int(bucket[js[0]]), _blob(key[js], *(c[js] for c in columns), [strings[j] for j in js.tolist()])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = hot_shared.value
-
-        def rows() -> Iterator[tuple[int, bytes]]:
-            texts, a, b, size = [], [], [], 0
-            for batch in batches:
-                for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    text = text.as_py()
-                    texts.append(text)
-                    a.append(k1)
-                    b.append(k2)
-                    size += len(text or "")
-                    if size > BLOCK:
-                        yield from pack(texts, a, b, hot)
-                        texts, a, b, size = [], [], [], 0
-            yield from pack(texts, a, b, hot)
-
-        out: list[tuple[int, bytes]] = []
-        for row in rows():
-            out.append(row)
-            if len(out) >= 256:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
-                out = []
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
+        for texts, rows in _texts(batches):
+            out = list(pack(texts, rows))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
 
     def settle(blobs: list[bytes]) -> pa.RecordBatch:
         """The repeated ranges of one bucket."""
         columns, strings = zip(*map(_unblob, blobs), strict=True)
         key, k1, k2, start, n, marks = (np.concatenate(c) for c in zip(*columns, strict=True))
-        known, twice = marks & 1, marks & 2
+        known, twice = (marks & 1).astype(np.int64), marks & 2
         strings = [s for part in strings for s in part]
         out: tuple[list, list, list, list] = ([], [], [], [])
 
@@ -335,7 +314,7 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = RUN) -> DataFrame
         if held:
             yield settle(held)
 
-    sent = docs.select("k1", "k2", "text").mapInArrow(send, "bucket bigint, blob binary")
+    sent = given.mapInArrow(send, "bucket bigint, blob binary")
     return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(count, _RANGES)
 
 
@@ -354,7 +333,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce(docs[id_col].cast("bigint"), null_id).alias("k1"), content_key(docs[text_col]).alias("k2"), docs[text_col].alias("text"),
         *[docs[c].alias(f"_kept_{i}") for i, c in enumerate(keep)],
     )
-    ranges = repeated_ranges(rows.select("k1", "k2", "text"), k, m)
+    ranges = repeated_ranges(rows, k, m)
     spans = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
     joined = rows.join(spans, ["k1", "k2"], "left").select("k1", "text", "spans.first", "spans.stop", *rows.columns[3:])
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
