@@ -11,7 +11,8 @@ repeat:
 2. Whole stretches, all bytes of their windows at once: equal ones repeat in every window, and one of
    them stands for all in what follows.
 3. Single windows, only of stretches that share an anchor with a different stretch: ranks at 100 bytes,
-   and the pairs of those at offsets 0 and 100.
+   and the pairs of those at offsets 0 and 100. The stretches of an anchor meet in one task, or, where they
+   are very many, their windows are dealt one by one by rank.
 
 Ranks are computed where the text is, as 64-bit (anchors, halves) and 128-bit names (stretches,
 windows); what decides a removal is a 128-bit name.
@@ -29,15 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import content_key, stored
+from siltstone.llm._common import content_key, shuffle_partitions, stored
 from siltstone.llm.superkmer import _merge, _mix, _sliding_min
 
 LENGTH = 200
 ANCHOR = 32
 #: Bytes that a task handles at once; longer texts are cut into parts that overlap by a window.
 BLOCK = 1_500_000
-#: Stretches of step 3 up to this many are told to all tasks (16 bytes each); more are joined to their texts.
-MAX_BROADCAST = 2_000_000
+#: Different stretches of one anchor up to which they meet in one task.
+TOGETHER = 10_000
+#: Windows that such a task ranks at once, besides those of one anchor.
+AT_ONCE = 500_000
 
 _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -149,14 +152,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, more: list[str]) -> DataF
     return docs.select(k1.alias("k1"), content_key(docs[text_col]).alias("k2"), docs[text_col].alias("text"), *[docs[c] for c in more])
 
 
-def _mark(k1, k2, start):
-    return F.xxhash64(k1, k2, start)
-
-
 def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, first, stop): byte ranges covered by repeated windows, for rows (k1, k2, text)."""
-    spark = rows.sparkSession
-
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, k1, k2, offset in _parts(batches, length):
             own = part.owner(part.start)
@@ -176,84 +173,110 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = whole.select("k1", "k2", F.col("start").alias("first"), (F.col("start") + F.col("n") + length - 1).alias("stop"))
     # 3. windows of stretches that differ but share an anchor, or that hold their anchor twice
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("low"), F.max(F.col("twice") & (F.col("times") == 1)).alias("t"))
-    mixed = mixed.where("(m > 1 and low = 1) or t").select("anchor")
-    open_ = kinds.join(mixed, "anchor", "left_semi").select("rep.*", (F.col("times") > 1).alias("settled"))
-    open_ = stored(open_)
-    if open_.count() <= MAX_BROADCAST:
-        told = open_.select(_mark("k1", "k2", "start").alias("mark"), "settled").toPandas().sort_values("mark", ignore_index=True)
-        shared = spark.sparkContext.broadcast((told["mark"].to_numpy(np.int64), told["settled"].to_numpy(bool)))
-        keyed = source.select("k1", "k2", "text", F.lit(None).cast("array<bigint>").alias("starts"), F.lit(None).cast("array<bigint>").alias("ns"), F.lit(None).cast("array<boolean>").alias("done"))
-    else:
-        shared = None
-        lists = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "settled")).alias("l"))
-        keyed = source.dropDuplicates(["k1", "k2"]).join(lists, ["k1", "k2"]).select("k1", "k2", "text", F.col("l.start").alias("starts"), F.col("l.n").alias("ns"), F.col("l.settled").alias("done"))
-    half = length // 2
+    mixed = mixed.where("(m > 1 and low = 1) or t").select("anchor", (F.col("m") > TOGETHER).alias("big"))
+    open_ = kinds.join(mixed, "anchor").select("rep.*", "anchor", (F.col("times") > 1).alias("settled"), "big")
+    lists = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "anchor", "settled", "big")).alias("l"))
+    names = ["l.start", "l.n", "l.anchor", "l.settled", "l.big"]
+    given = rows.join(lists, ["k1", "k2"]).select("k1", "k2", "text", *names)
 
-    def name(data: np.ndarray, k1: int, k2: int, start: int, settled: bool) -> tuple:
-        """The windows of a stretch: rank of the first half, that of the second, and a second name of the whole."""
-        r, w = ranks(data, half), ranks(data, length, 1)
-        n = len(w)
-        return np.full(n, k1), np.full(n, k2), start + np.arange(n), r[:n], r[length - half :][:n], w, np.full(n, settled)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k1, k2, text, *lists in zip(*(c for c in batch.columns), strict=True):
+                data = (text.as_py() or "").encode()
+                for start, n, anchor, settled, big in zip(*(x.as_py() for x in lists), strict=True):
+                    out.append((k1.as_py(), k2.as_py(), start, anchor, settled, big, data[start : start + n + length - 1]))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64()] * 4 + [pa.bool_()] * 2 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k1", "k2", "start", "anchor", "settled", "big", "data"])
+
+    cuts = given.mapInArrow(cut, "k1 bigint, k2 bigint, start bigint, anchor bigint, settled boolean, big boolean, data binary")
+    many = mixed.where("big").limit(1).count() > 0
+    if many:
+        cuts = stored(cuts)
+    half = length // 2
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-            if found:
-                k1, k2, at, a, b, w, s = (np.concatenate(c) for c in zip(*found, strict=True))
-                cols = [k1, k2, at, a.view(np.int64), b.view(np.int64), w.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(s)], names=["k1", "k2", "at", "a", "b", "w", "settled"])
-
-        if shared is None:
-            for batch in batches:
-                for k1, k2, text, starts, ns, done in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    data = np.frombuffer((text or "").encode(), np.uint8)
-                    yield from emit([name(data[a : a + n + length - 1], k1, k2, a, d) for a, n, d in zip(starts, ns, done, strict=True)])
-            return
-        marks, settled = shared.value
-        if not len(marks):
-            return
-        for part, k1, k2, offset in _parts(batches, length):
-            own = part.owner(part.start)
-            start = part.start - part.first[own] + offset[own]
-            mark = _xxhash64_longs(k1[own], k2[own], start)
-            i = np.minimum(np.searchsorted(marks, mark), len(marks) - 1)
-            at = np.flatnonzero(marks[i] == mark)
-            yield from emit([
-                name(part.data[part.start[j] : part.start[j] + part.n[j] + length - 1], k1[own[j]], k2[own[j]], int(start[j]), settled[i[j]]) for j in at.tolist()
-            ])
-
-    pairs = stored(keyed.mapInArrow(windows, "k1 bigint, k2 bigint, at bigint, a bigint, b bigint, w bigint, settled boolean"))
-    for key in (["a"], ["a", "b", "w"]):  # ranks at 100 bytes, then the pairs of them
-        weight = F.sum(F.when(F.col("settled"), 2).otherwise(1)).alias("m")
-        known = pairs.groupBy(*key).agg(weight).where("m > 1").select(*key)
-        pairs = pairs.join(known, key, "left_semi")
-    single = pairs.where(~F.col("settled")).select("k1", "k2", F.col("at").alias("first"), (F.col("at") + length).alias("stop"))
+    def joined(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The strings end to end; for each window its string and where in it it starts."""
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        n = sizes - length + 1
+        own = np.repeat(np.arange(len(data)), n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.frombuffer(b"".join(data), np.uint8), own, inner + np.repeat(np.cumsum(sizes) - sizes, n)
+
+    def twice_or_more(*rank: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sorts the windows by rank: which of them have a rank of total weight over 1."""
+        order = np.lexsort(rank)
+        new = np.r_[True, np.any([r[order][1:] != r[order][:-1] for r in rank], axis=0)] if len(order) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        out = np.zeros(len(order), bool)
+        out[order] = np.bincount(group, weight[order])[group] > 1 if len(order) else []
+        return out
+
+    def settle(held: list[tuple]) -> pa.RecordBatch:
+        k1, k2, start, done, data = zip(*held, strict=True)
+        k1, k2, start, done = np.array(k1, np.int64), np.array(k2, np.int64), np.array(start, np.int64), np.array(done, bool)
+        raw, own, at = joined(list(data))
+        weight = 1 + done[own]
+        first = ranks(raw, half)
+        live = twice_or_more(first[at], weight=weight)  # a half that is unique isn't in any repeated window
+        own, at, weight = own[live], at[live], weight[live]
+        second = ranks(raw, length, 1)
+        live = twice_or_more(first[at], first[at + length - half], second[at], weight=weight) & ~done[own]
+        own, at = own[live], at[live]
+        begin = np.cumsum(np.fromiter(map(len, data), np.int64, len(data))) - np.fromiter(map(len, data), np.int64, len(data))
+        where = start[own] + at - begin[own]
+        return _merge(k1[own], k2[own], where, where + length)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last, windows = None, 0
+        for batch in batches:
+            for anchor, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if anchor != last and windows > AT_ONCE:
+                    yield settle(held)
+                    held, windows = [], 0
+                last = anchor
+                held.append(tuple(row))
+                windows += len(row[-1])
+        if held:
+            yield settle(held)
+
+    small = cuts.where(~F.col("big")).select("anchor", "k1", "k2", "start", "settled", "data")
+    small = small.repartition(shuffle_partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor")
+    found = whole.unionByName(small.mapInArrow(meet, _RANGES))
+    if many:
+        found = found.unionByName(_one_by_one(cuts.where("big"), length))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _merge(*(c.to_numpy() for c in batch.columns))
 
-    return whole.unionByName(single).mapInArrow(merge, "k1 bigint, k2 bigint, first bigint, stop bigint")
-
+    return found.mapInArrow(merge, _RANGES)
 
-_PRIME = [0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
 
+_RANGES = "k1 bigint, k2 bigint, first bigint, stop bigint"
 
-def _xxhash64_longs(*columns: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of columns of longs."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in _PRIME)
 
-    def rotate(x: np.ndarray, n: int) -> np.ndarray:
-        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+def _one_by_one(cuts: DataFrame, length: int) -> DataFrame:
+    """Step 3 for strings of very frequent anchors: a row for each window, counted by rank over all tasks."""
+    half = length // 2
 
-    with np.errstate(over="ignore"):
-        h = np.full(len(columns[0]), 42, np.uint64)
-        for c in columns:
-            k = rotate(np.asarray(c, np.int64).view(np.uint64) * p2, 31) * p1
-            h = rotate((h + p5 + np.uint64(8)) ^ k, 27) * p1 + p4
-            h = (h ^ (h >> np.uint64(33))) * p2
-            h = (h ^ (h >> np.uint64(29))) * p3
-            h = h ^ (h >> np.uint64(32))
-    return h.view(np.int64)
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k1, k2, start, settled, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 6)), strict=True):
+                raw = np.frombuffer(data, np.uint8)
+                w, r = ranks(raw, length, 1).view(np.int64), ranks(raw, half).view(np.int64)
+                n = len(w)
+                columns = (np.full(n, k1), np.full(n, k2), start + np.arange(n), r[:n], r[length - half :][:n], w, np.full(n, settled))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "at", "a", "b", "w", "settled"])
+
+    pairs = stored(cuts.mapInArrow(windows, "k1 bigint, k2 bigint, at bigint, a bigint, b bigint, w bigint, settled boolean"))
+    for key in (["a"], ["a", "b", "w"]):  # ranks at half the length, then the pairs of them
+        weight = F.sum(F.when(F.col("settled"), 2).otherwise(1)).alias("m")
+        known = pairs.groupBy(*key).agg(weight).where("m > 1").select(*key)
+        pairs = pairs.join(known, key, "left_semi")
+    return pairs.where(~F.col("settled")).select("k1", "k2", F.col("at").alias("first"), (F.col("at") + length).alias("stop"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = False) -> DataFrame:
