@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontam, langid, simhash, suffix, superkmer
+from siltstone.llm import bpe, decontam, htmlmain, langid, simhash, suffix, superkmer
 from siltstone.llm._common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), rank_path())
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_byte_bpe, op6_superkmer_dedup, op7_spaced_seeds, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_byte_bpe, op4_html_text, op6_superkmer_dedup, op7_spaced_seeds, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
