@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontam, htmlmain, langid, simhash, suffix, superkmer
+from siltstone.llm import bpe, decontam, htmlmain, langid, simhash, suffix, superkmer, toxicity
 from siltstone.llm._common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -47,13 +47,23 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    known = docs.select("doc_id", "text").join(labels.where(~langid.held_out(F.col("doc_id"), 5, 0)), "doc_id")
+    found = toxicity.score(docs, toxicity.train(docs, known))
+    return found.select(
+        "doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits"
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_byte_bpe, op4_html_text, op6_superkmer_dedup, op7_spaced_seeds, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_byte_bpe, op4_html_text, op6_superkmer_dedup, op7_spaced_seeds, op8_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
