@@ -3,7 +3,8 @@
 A character language model (4-grams, backed off) is counted over all texts. Words that look disguised
 (digits or symbols for letters, letters spaced out, letters repeated) become a lattice of what each
 character may stand for, each reading with a cost; the Viterbi path under the language model is the
-restored word. The restored text is scored by weights of single words learned from labelled rows.
+restored word. The restored text is scored by weights of words and word beginnings learned from
+labelled rows; a beginning covers the inflected and compound forms that no labelled row holds.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñóíáú"
@@ -37,6 +38,8 @@ _LEET = re.compile(rf"[a-zа-я][{_MARKS}]+[a-zа-я]|(?<![^\s\"'(\[])[{_MARKS}]
 _SPACED = re.compile(rf"(?<![^\s\"'(\[])(?:[a-z{_MARKS}][ .\-_~]){{3,80}}[a-z{_MARKS}](?![^\s.,;:!?\"')\]])")
 _RUN = re.compile(r"(.)\1+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Lengths of the beginnings of longer words that are features too, written with a star.
+BEGINNINGS = (4, 5, 6, 7)
 _BLOCK = 500_000
 
 
@@ -67,8 +70,9 @@ class Model:
     memory: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        #: Words without doubled letters; restoring can't tell how many letters a run stood for.
+        #: Features without doubled letters; restoring can't tell how many letters a run stood for.
         self.thin = {_RUN.sub(r"\1", w): w for w in self.weights}
+        self.thin_ends = sorted({len(w) - 1 for w in self.thin if w[-1] == "*"})
 
     def decode(self, token: str, spaced: bool = False) -> str:
         """The most probable word (or words, where spaced letters fall into several) behind a disguised one.
@@ -141,11 +145,16 @@ class Model:
             return 1 / (1 + np.exp(-self.bias)), []
         low, found = self.restored(text)
         weights = self.weights
-        hits = {w for w in _WORD.findall(low) if w in weights}
+        words = set(_WORD.findall(low))
+        hits = words & weights.keys()
+        for n in BEGINNINGS:
+            hits |= {f"{w[:n]}*" for w in words if len(w) > n} & weights.keys()
         for part in found:
-            hits.update(self.thin[t] for t in _RUN.sub(r"\1", part).split() if t in self.thin)
-        total = self.bias + sum(sorted((weights[w] for w in hits), reverse=True)[:3])
-        return float(1 / (1 + np.exp(-min(30.0, total)))), sorted(hits)
+            for t in _RUN.sub(r"\1", part).split():
+                starts = [t, *(f"{t[:n]}*" for n in self.thin_ends if len(t) > n)]
+                hits.update(self.thin[x] for x in starts if x in self.thin)
+        total = self.bias + sum(weights[w] for w in sorted(hits))
+        return float(1 / (1 + np.exp(-max(-30.0, min(30.0, total))))), sorted(hits)
 
 
 def language_model(counts: np.ndarray) -> np.ndarray:
@@ -174,13 +183,18 @@ def gather(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return counts
 
 
-def train(docs: DataFrame, labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", max_docs: int = 20_000, max_words: int = 2_000) -> Model:
+def _features(words: Column) -> Column:
+    starts = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in BEGINNINGS]
+    return F.array_distinct(F.concat(words, *starts))
+
+
+def train(docs: DataFrame, labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", max_docs: int = 20_000, max_words: int = 1_000) -> Model:
     """Counts the language model over ``docs`` and learns word weights from ``labelled``.
 
     Of the labelled rows at most about ``max_docs`` are used, chosen by a hash of the id; their whole
-    texts count. A word gets the log of how much likelier it is in rows of label 1, if it is there in at
-    least 4 of them and far more often than chance would have it. Of these the ``max_words`` of
-    largest weight stay. Null labels are left out, null texts count as empty; without labelled rows
+    texts count. Words and beginnings of words are features if at least 4 rows of label 1 hold them, and
+    far more of those than chance would have it; the ``max_words`` of largest evidence stay, and a logistic
+    regression weighs them. Null labels are left out, null texts count as empty; without labelled rows
     every score is 0.5.
     """
     rows = labelled.where(F.col(label_col).isNotNull())
@@ -193,18 +207,45 @@ def train(docs: DataFrame, labelled: DataFrame, text_col: str = "text", label_co
     counts = gather(docs, text_col)
     if not one or one == every:
         return Model(language_model(counts), {}, 0.0)
-    words = sample.select("y", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(\p{L}+)"), F.lit(1)))).alias("w"))
+    found = F.array_distinct(F.regexp_extract_all("t", F.lit(r"(\p{L}+)"), F.lit(1)))
+    held = sample.select("y", found.alias("words"))
+    # only what rows of label 1 hold can get a weight, so the others are counted for these features alone
+    toxic = held.where("y = 1").select(F.explode(_features(F.col("words"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("a")).where("a >= 4")
+    words = held.select("y", F.explode(_features(F.col("words"))).alias("w")).join(toxic.select("w"), "w", "left_semi")
     stats = words.groupBy("w").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("m")).where("a >= 4")
     base = one / every
     stats = stats.withColumn("z", (F.col("a") - F.col("m") * base) / F.sqrt(F.col("m") * base * (1 - base)))
-    stats = stats.withColumn("rate", (F.col("a") + base) / (F.col("m") + 1.0)).where("z > 6 and rate > 0.5")
-    stats = stats.orderBy(F.desc("z"), "w").limit(max_words).toPandas()
-    lexicon = {w: float(np.log(r / (1 - r)) - np.log(base / (1 - base))) for w, r in zip(stats["w"], stats["rate"].clip(upper=0.999), strict=True)}
-    # rows without any of these words say what is left
-    left = sample.where(~F.arrays_overlap(F.regexp_extract_all("t", F.lit(r"(\p{L}+)"), F.lit(1)), F.array(*[F.lit(w) for w in lexicon] or [F.lit("")])))
-    rest = left.agg(F.avg("y")).first()[0] if lexicon else base
-    rest = min(0.45, max(0.001, rest if rest is not None else base))
-    return Model(language_model(counts), lexicon, float(np.log(rest / (1 - rest))))
+    stats = stats.where((F.col("z") > 6) & (F.col("a") / F.col("m") > 0.5))
+    lexicon = [r["w"] for r in stats.orderBy(F.desc("z"), "w").limit(max_words).select("w").collect()]
+    hits = F.array_sort(F.array_intersect(_features(F.col("words")), F.array(*[F.lit(w) for w in lexicon]).cast("array<string>")))
+    kinds = held.select("y", hits.alias("hits")).groupBy("y", "hits").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    weights, bias = fit(lexicon, kinds["hits"].tolist(), kinds["y"].to_numpy(float), kinds["n"].to_numpy(float), base)
+    return Model(language_model(counts), weights, bias)
+
+
+def fit(lexicon: list[str], hits: list, y: np.ndarray, n_rows: np.ndarray, base: float, ridge: float = 0.1, steps: int = 400) -> tuple[dict[str, float], float]:
+    """Logistic regression with a ridge over sets of features, by accelerated gradient steps.
+
+    Rows that hold the same features count by the logarithm of their number, so that copies don't
+    outvote the rest. The bias is what rows without any feature say, as those outnumber all others.
+    """
+    at = {w: i for i, w in enumerate(lexicon)}
+    flat = np.array([at[w] for h in hits for w in h], int)
+    row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+    none = np.array([len(h) == 0 for h in hits], bool)
+    ones, rest = float(n_rows[none & (y > 0)].sum()), float(n_rows[none].sum())
+    share = min(0.4, max(0.002, (ones + base) / (rest + 1.0))) if lexicon else base
+    bias = float(np.log(share / (1 - share)))
+    n, k, weight = len(hits), len(lexicon), 1 + np.log(n_rows)
+    w, look, t = np.zeros(k), np.zeros(k), 1.0
+    most = np.bincount(row, minlength=n).max(initial=1)
+    step = 1 / (ridge + 0.25 * max(1.0, float(np.bincount(flat, weight[row] * most, minlength=k).max(initial=1.0))))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, look[flat], minlength=n), -40, 40)))
+        gradient = np.bincount(flat, (weight * (p - y))[row], minlength=k) + ridge * look
+        new, ahead = look - step * gradient, (1 + np.sqrt(1 + 4 * t * t)) / 2
+        look, w, t = new + (t - 1) / ahead * (new - w), new, ahead
+    return dict(zip(lexicon, w.tolist(), strict=True)), bias
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
