@@ -7,23 +7,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, langid, simhash
+from siltstone.llm import bpe, decontam, langid, simhash, superkmer
 from siltstone.llm._common import checkpoint_dir, table
 from siltstone.llm.queries import rank_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no language: null, or without any letter. All others stay as they are."""
     model = langid.train(docs)
-    found = langid.identify(docs, model, keep=["text", "lang", "source", "n_chars"])
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+    found = langid.identify(docs, model, keep=[c for c in docs.columns if c != "doc_id"])
+    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near duplicates; of rows that repeat an id, one."""
-    return simhash.one_of_each(docs).select(*COLUMNS)
+    return simhash.one_of_each(docs).select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes the words of repeated passages out of the texts; ``n_chars`` follows. No document goes, even if all of its words do."""
+    kept = superkmer.remove_repeats(docs, with_text=True, keep=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    text = F.col("kept_text").alias("text")
+    return kept.select(*[text if c == "text" else F.length("kept_text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item or a stretch of one."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +41,14 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, rank_path(), with_ids=True)
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("tokens", tokens)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("passages", passages), ("decontaminated", decontaminated), ("tokens", tokens)]
 
 #: The stages train models, link fingerprints and run a tokenizer, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over the documents of ``sf_dir``; the tables in between are in the shared scratch folder."""
     docs = table(spark, sf_dir, "documents")
     base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontam, htmlmain, langid, simhash, suffix, superkmer, toxicity
+from siltstone.llm import bpe, chroma, decontam, htmlmain, langid, licenses, simhash, suffix, superkmer, toxicity
 from siltstone.llm._common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,12 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no audio; each row of ``embeddings`` is played as a recording of 16 seconds. Queries: ids divisible by 50."""
+    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.melody)
+    return chroma.align(prints, F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
 def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -57,13 +63,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_byte_bpe, op4_html_text, op6_superkmer_dedup, op7_spaced_seeds, op8_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_byte_bpe, op4_html_text, op5_chroma, op6_superkmer_dedup, op7_spaced_seeds, op8_toxicity, op9_license_scan, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

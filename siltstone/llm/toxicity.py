@@ -223,7 +223,7 @@ def train(docs: DataFrame, labelled: DataFrame, text_col: str = "text", label_co
     return Model(language_model(counts), weights, bias)
 
 
-def fit(lexicon: list[str], hits: list, y: np.ndarray, n_rows: np.ndarray, base: float, ridge: float = 0.1, steps: int = 400) -> tuple[dict[str, float], float]:
+def fit(lexicon: list[str], hits: list, y: np.ndarray, n_rows: np.ndarray, base: float, ridge: float = 0.03, steps: int = 1_500) -> tuple[dict[str, float], float]:
     """Logistic regression with a ridge over sets of features, by accelerated gradient steps.
 
     Rows that hold the same features count by the logarithm of their number, so that copies don't
@@ -234,7 +234,7 @@ def fit(lexicon: list[str], hits: list, y: np.ndarray, n_rows: np.ndarray, base:
     row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     none = np.array([len(h) == 0 for h in hits], bool)
     ones, rest = float(n_rows[none & (y > 0)].sum()), float(n_rows[none].sum())
-    share = min(0.4, max(0.002, (ones + base) / (rest + 1.0))) if lexicon else base
+    share = min(0.4, max(0.01, (ones + base) / (rest + 1.0))) if lexicon else base
     bias = float(np.log(share / (1 - share)))
     n, k, weight = len(hits), len(lexicon), 1 + np.log(n_rows)
     w, look, t = np.zeros(k), np.zeros(k), 1.0
