@@ -50,6 +50,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in parts of a few rows, so that what is made of a batch at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def content_key(text: Column) -> Column:
     """64 bits of the text. With the id it names a row; repeated equal rows share a key on purpose."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siltstone.llm._common import slices
+
 #: ``\s`` as the Unicode property; it is the same set for every engine then.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -84,7 +86,7 @@ class Transducer:
 
     ROOT = 0
 
-    def __init__(self, merges: Merges, max_states: int = 200_000):
+    def __init__(self, merges: Merges, max_states: int = 180_000):
         self.merges, self.max_states = merges, max_states
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
         self.token_at: dict[int, int] = {}
@@ -107,7 +109,7 @@ class Transducer:
     def _reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.arcs: dict[int, tuple[int, int]] = {}  # state << 8 | byte
+        self.arcs: dict[int, int] = {}  # state << 8 | byte -> next state << 24 | token + 1
         self.start = self._state(((self.ROOT, -1),))
 
     def _state(self, key: tuple) -> int:
@@ -140,12 +142,12 @@ class Transducer:
                 before, a = born_a, second[a]
             else:
                 before, b = born_b + 1, first[b]
-        if len(self.holds) > 1_000_000:
+        if len(self.holds) > 300_000:
             self.holds.clear()
         self.holds[key] = out
         return out
 
-    def _arc(self, state: int, byte: int) -> tuple[int, int]:
+    def _arc(self, state: int, byte: int) -> int:
         """The next state, and the token that ends here in the tokens of the prefix."""
         child, inner, token_at, holds = self.child, self.inner, self.token_at, self.holds
         places, found = [], -1
@@ -159,7 +161,7 @@ class Transducer:
                 if last < 0 or (ok := holds.get(last << 20 | t)) or (ok is None and self.may_follow(last, t)):
                     found = t
         places.append((self.ROOT, found))
-        return self._state(tuple(places)), found
+        return self._state(tuple(places)) << 24 | found + 1
 
     def run(self, data: bytes, window: int = 4096) -> list[int]:
         """Tokens of ``data``. The last token of each prefix is kept until it is certain: every
@@ -174,8 +176,8 @@ class Transducer:
             arc = arcs.get(state << 8 | byte)
             if arc is None:
                 arc = arcs[state << 8 | byte] = self._arc(state, byte)
-            state, token = arc
-            ends.append(token)
+            state = arc >> 24
+            ends.append((arc & 0xFFFFFF) - 1)
             if len(ends) >= window:
                 sure = self._meet(ends)
                 out += self._back(ends, sure)
@@ -207,7 +209,7 @@ class Encoder:
     runs of spaces is first cut there, and whole words are looked up.
     """
 
-    def __init__(self, merges: Merges, pattern: str = SPLIT, max_pieces: int = 300_000):
+    def __init__(self, merges: Merges, pattern: str = SPLIT, max_pieces: int = 150_000):
         import regex
 
         self.pieces = regex.compile(pattern).findall
@@ -232,7 +234,11 @@ class Encoder:
         return b"".join(made)
 
     def _word(self, word: str) -> bytes:
-        ids = self._text(f" {word}")
+        pieces = self.pieces(f" {word}")
+        if len(pieces) > 1:
+            ids = b"".join(self.known.get(p) or self._piece(p) for p in pieces)
+        else:  # kept as a word, so not as a piece too
+            ids = np.array(self.fst.run(pieces[0].encode()), "<u4").tobytes()
         return ids if "\n" in word else self._keep(self.words, word, ids)
 
     def encode(self, text: str) -> np.ndarray:
@@ -331,7 +337,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _tools(shared)
-        for batch in batches:
+        for batch in slices(batches):
             count, of_ids, of_bytes, ids_out, text_out = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = encoder.encode(text or "")

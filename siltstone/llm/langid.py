@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm._common import slices
+
 UNDETERMINED = "und"
 #: Table of n-gram features: 2^8 for single bytes, 2^16 each for pairs and (hashed) triples.
 N_FEATURES = 256 + 65_536 + 65_536
 #: Bytes of text that are scored at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 
 
 def codewords(n: int, seed: int = 17) -> np.ndarray:
@@ -106,7 +108,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(lang, np.zeros(N_FEATURES, np.int64))
                 data = text.lower().encode()
@@ -167,7 +169,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.num_rows
             lang, score, second = [UNDETERMINED] * n, np.zeros(n), np.zeros(n)
             at = [i for i, ok in enumerate(batch.column(2).to_pylist()) if ok and model is not None]

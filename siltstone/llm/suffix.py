@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import content_key, shuffle_partitions, stored
+from siltstone.llm._common import content_key, shuffle_partitions, slices, stored
 from siltstone.llm.superkmer import _merge, _mix, _sliding_min
 
 LENGTH = 200
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = rows.join(spans, ["k1", "k2"], "left").select("k1", "text", "spans.first", "spans.stop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_bytes, n_removed, n_spans, digests, kept = [], [], [], [], []
             for text, first, stop in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
                 data = (text.as_py() or "").encode()

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import content_key, shuffle_partitions, stored
+from siltstone.llm._common import content_key, shuffle_partitions, slices, stored
 
 WINDOW = 35
 RUN = 6
@@ -340,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = "k1 bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string" + extra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_removed, digests, kept = [], [], [], []
             for text, first, stop in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
                 text, first, stop = text.as_py(), first.as_py(), stop.as_py()
