@@ -1 +1 @@
-"""siltstone: a Spark-native engine for file snapshots, document analytics and text fingerprints."""
+"""Spark-native snapshot analytics: files and texts in, typed and fingerprinted snapshots out."""
