@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_HELD: dict = {}
+
+
+def held(key, make=dict):
+    """What a Python worker keeps from task to task. Workers outlive stages, so a worker lets go of one operator's
+    tables when another operator starts in it."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in parts of a few rows, so that what is made of a batch at once stays small."""
     for batch in batches:

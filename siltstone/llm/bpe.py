@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm._common import slices
+from siltstone.llm._common import held, slices
 
 #: ``\s`` as the Unicode property; it is the same set for every engine then.
 SPLIT = (
@@ -363,16 +363,11 @@ def encode_documents(
     return out.withColumnRenamed("id", id_col)
 
 
-_TOOLS: dict = {}
-
-
 def _tools(shared) -> tuple[Encoder, Decoder]:
     """The worker's encoder and decoder; kept over tasks, as the table of states is worth keeping."""
-    key = getattr(shared, "_bid", None)
-    if key is None:
-        key = id(shared)
-    if key not in _TOOLS:
+
+    def make() -> tuple[Encoder, Decoder]:
         merges = Merges(shared.value)
-        _TOOLS.clear()
-        _TOOLS[key] = (Encoder(merges), Decoder(merges.bytes_of))
-    return _TOOLS[key]
+        return Encoder(merges), Decoder(merges.bytes_of)
+
+    return held(("bpe", getattr(shared, "_bid", id(shared))), make)

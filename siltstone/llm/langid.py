@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import slices
+from siltstone.llm._common import held, slices
 
 UNDETERMINED = "und"
 #: Table of n-gram features: 2^8 for single bytes, 2^16 each for pairs and (hashed) triples.
@@ -107,6 +107,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     sample = rows.where(draw < share[F.col("lang")]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("langid")
         sums: dict[str, np.ndarray] = {}
         for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -168,6 +169,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     schema = f"_id bigint, lang_pred string, score double, runner_up double, ambiguous boolean{kept}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("langid")
         model = shared.value
         for batch in slices(batches):
             n = batch.num_rows

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import components
-from siltstone.llm._common import durable, shuffle_partitions, slices
+from siltstone.llm._common import durable, held, shuffle_partitions, slices
 
 SEED = 42
 N_PIVOTS = 16
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the fingerprint of each row's whole text as a signed 64-bit number. Null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash")
         for batch in slices(batches):
             fps = np.array([fingerprint(t, words_per_shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])

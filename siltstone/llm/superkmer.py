@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import content_key, shuffle_partitions, slices, stored
+from siltstone.llm._common import content_key, held, shuffle_partitions, slices, stored
 
 WINDOW = 35
 RUN = 6
@@ -203,6 +203,7 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = RUN) -> DataFrame
     buckets = partitions * 4
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("superkmer")
         for texts, rows in _texts(batches):
             block = Block(texts, k, m)
             own = block.document(block.start)
@@ -261,6 +262,7 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = RUN) -> DataFrame
             yield int(bucket[js[0]]), _blob(key[js], *(c[js] for c in columns), [strings[j] for j in js.tolist()])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("superkmer")
         for texts, rows in _texts(batches):
             out = list(pack(texts, rows))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
@@ -298,7 +300,7 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = RUN) -> DataFrame
         return _merge(*out)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        blobs: list[bytes] = []
         at = None
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -306,13 +308,13 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = RUN) -> DataFrame
                     cols = np.frombuffer(zstandard.decompress(blob.as_py()), "<i8").reshape(4, -1)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "k2", "first", "stop"])
                     continue
-                if bucket != at and held:
-                    yield settle(held)
-                    held = []
+                if bucket != at and blobs:
+                    yield settle(blobs)
+                    blobs = []
                 at = bucket
-                held.append(blob.as_py())
-        if held:
-            yield settle(held)
+                blobs.append(blob.as_py())
+        if blobs:
+            yield settle(blobs)
 
     sent = given.mapInArrow(send, "bucket bigint, blob binary")
     return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(count, _RANGES)
