@@ -50,20 +50,25 @@ def joined(array):
 
 
 TOK = f"regexp_extract_all(lower(text), {q(W)})"
-TEXT = F.col("text")
+
+
+def text():
+    """The column; made when a query is built, as a session is there then."""
+    return F.col("text")
+
 
 # --- words and fingerprints ---
 
 
 @query(f"select doc_id, len({TOK})::BIGINT n_tokens, len(list_distinct({TOK}))::BIGINT n_distinct from documents")
 def tokens_per_doc(spark, d):
-    words = T.tokens(TEXT)
+    words = T.tokens(text())
     return t(spark, d, "documents").select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(words)).cast("bigint").alias("n_distinct"))
 
 
 @query(f"select token, count(*)::BIGINT n from (select unnest({TOK}) token from documents) group by 1 order by n desc, token limit 50")
 def token_freq_topk(spark, d):
-    words = t(spark, d, "documents").select(F.explode(T.tokens(TEXT)).alias("token"))
+    words = t(spark, d, "documents").select(F.explode(T.tokens(text())).alias("token"))
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(50)
 
 
@@ -107,7 +112,7 @@ z as (select t.doc_id, coalesce(vs, list_transform(range(32), lambda i: '0')) vs
 @query(f"with {_MIN} select doc_id, array_to_string(vs, ',') minhash from z")
 def minhash_32(spark, d):
     docs = t(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", fingerprint.minhash(TEXT, 32).alias("m")).select("doc_id", fingerprint.minhash_text(F.col("m")).alias("minhash"))
+    return docs.select("doc_id", fingerprint.minhash(text(), 32).alias("m")).select("doc_id", fingerprint.minhash_text(F.col("m")).alias("minhash"))
 
 
 @query(
@@ -115,7 +120,7 @@ def minhash_32(spark, d):
     "select a::BIGINT a, b::BIGINT b, round(s::DOUBLE, 6) similarity from j where s >= 0.8"
 )
 def jaccard_pairs_minhash(spark, d):
-    docs = t(spark, d, "documents").where("text is not null").select("doc_id", fingerprint.minhash(TEXT, 32).alias("slots"))
+    docs = t(spark, d, "documents").where("text is not null").select("doc_id", fingerprint.minhash(text(), 32).alias("slots"))
     return neardup.jaccard_pairs(docs, "doc_id", "slots").withColumn("similarity", F.round("similarity", 6))
 
 
@@ -150,25 +155,25 @@ def _sh(pattern: str) -> str:
 )
 def complexity_metrics(spark, d):
     n = F.octet_length("text")
-    breaks = F.length("text") - F.length(F.replace(TEXT, F.lit("\n"), F.lit("")))
-    return t(spark, d, "documents").select("doc_id", n.cast("bigint").alias("n_bytes"), F.round(n / F.greatest(breaks, F.lit(1)), 6).alias("avg_line_length"), F.round(T.share(TEXT, "[^ \n\t]"), 6).alias("whitespace_ratio"))
+    breaks = F.length("text") - F.length(F.replace(text(), F.lit("\n"), F.lit("")))
+    return t(spark, d, "documents").select("doc_id", n.cast("bigint").alias("n_bytes"), F.round(n / F.greatest(breaks, F.lit(1)), 6).alias("avg_line_length"), F.round(T.share(text(), "[^ \n\t]"), 6).alias("whitespace_ratio"))
 
 
 @query()
 def complexity_route(spark, d):
-    c = T.complexity(TEXT)
+    c = T.complexity(text())
     return t(spark, d, "documents").select("doc_id", *[x.alias(k) for k, x in c.items()])
 
 
 @query(f"select doc_id, round({_sh('[^A-Za-z]')}, 6) alpha, round({_sh('[^0-9]')}, 6) digit, round({_sh('[^ ' + chr(10) + chr(9) + ']')}, 6) space from documents")
 def content_weights(spark, d):
-    w = T.content_weights(TEXT)
+    w = T.content_weights(text())
     return t(spark, d, "documents").select("doc_id", *[F.round(w[k], 6).alias(k) for k in ("alpha", "digit", "space")])
 
 
 @query()
 def content_type_sniff(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.content_type(TEXT).alias("content_type"))
+    return t(spark, d, "documents").select("doc_id", T.content_type(text()).alias("content_type"))
 
 
 @query(
@@ -176,13 +181,13 @@ def content_type_sniff(spark, d):
     "when octet_length(encode(text)) >= 5000000 then 'potential_god' when octet_length(encode(text)) >= 500000 then 'large' else 'normal' end tag from documents) group by 1,2,3"
 )
 def size_tag_hist(spark, d):
-    docs = t(spark, d, "documents").select("source", "lang", T.size_tag(F.lit("doc"), TEXT).alias("tag"), F.octet_length("text").alias("b"))
+    docs = t(spark, d, "documents").select("source", "lang", T.size_tag(F.lit("doc"), text()).alias("tag"), F.octet_length("text").alias("b"))
     return docs.groupBy("source", "lang", "tag").agg(F.count(F.lit(1)).alias("n_files"), F.sum("b").cast("bigint").alias("n_bytes"))
 
 
 @query(f"select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {q(r'\S')})))::BIGINT loc from documents")
 def lines_of_code(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.lines_of_code(TEXT).cast("bigint").alias("loc"))
+    return t(spark, d, "documents").select("doc_id", T.lines_of_code(text()).cast("bigint").alias("loc"))
 
 
 # --- redaction and safety ---
@@ -199,8 +204,8 @@ _RED = f"(case when length(text) >= 8 then {_chain('text', redact.SECRETS, 'REDA
 
 @query(f"select doc_id, sha256({_RED}) redacted_hash, ({_RED} <> text) changed from documents where text is not null")
 def secret_redact(spark, d):
-    docs = t(spark, d, "documents").where("text is not null").select("doc_id", "text", redact.redact_secrets(TEXT).alias("r"))
-    return docs.select("doc_id", F.sha2("r", 256).alias("redacted_hash"), (F.col("r") != TEXT).alias("changed"))
+    docs = t(spark, d, "documents").where("text is not null").select("doc_id", "text", redact.redact_secrets(text()).alias("r"))
+    return docs.select("doc_id", F.sha2("r", 256).alias("redacted_hash"), (F.col("r") != text()).alias("changed"))
 
 
 def _kinds_sql() -> str:
@@ -213,7 +218,7 @@ def _kinds_sql() -> str:
 
 @query(_kinds_sql())
 def secret_scan_counts(spark, d):
-    return t(spark, d, "documents").select(F.explode(redact.secret_kinds(TEXT)).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return t(spark, d, "documents").select(F.explode(redact.secret_kinds(text())).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 _INJ = tuple((n, p.replace(r"(?=\s*(?:", r"\s*(?:").replace("|is|:))", "|is|:)")) for n, p in redact.INJECTIONS)
@@ -223,7 +228,7 @@ _CHATS = "(select text from conversations union all select text from documents u
 @query("select * from (" + " union all ".join(f"select {q(n)} kind, count(*)::BIGINT n from {_CHATS} where length(text) >= 10 and regexp_matches(text, {q(p)})" for n, p in _INJ) + ") where n > 0")
 def injection_scan_counts(spark, d):
     every = t(spark, d, "conversations").select("text").unionByName(t(spark, d, "documents").select("text")).unionByName(t(spark, d, "pages").select(F.col("html").alias("text")))
-    return every.select(F.explode(redact.injection_kinds(TEXT)).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return every.select(F.explode(redact.injection_kinds(text())).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _block_sql() -> str:
@@ -236,7 +241,7 @@ def _block_sql() -> str:
 
 @query(f"with c as (select conv_id, turn, {_RED} as text from conversations) select conv_id, turn, (case when length(text) >= 10 then {_block_sql()} else text end) clean from c")
 def injection_block(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", redact.redact_secrets(TEXT).alias("text")).select("conv_id", "turn", redact.block_injections(TEXT).alias("clean"))
+    return t(spark, d, "conversations").select("conv_id", "turn", redact.redact_secrets(text()).alias("text")).select("conv_id", "turn", redact.block_injections(text()).alias("clean"))
 
 
 def _imperative_sql() -> str:
@@ -246,17 +251,17 @@ def _imperative_sql() -> str:
 
 @query(_imperative_sql())
 def imperative_filter(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", redact.filter_literal(TEXT).alias("filtered"))
+    return t(spark, d, "conversations").select("conv_id", "turn", redact.filter_literal(text()).alias("filtered"))
 
 
 @query(f"select doc_id, array_to_string(list_filter([{', '.join(f'case when regexp_matches(text, {q(p)}) then {q(n)} end' for n, p in redact.SUSPICIOUS)}], lambda x: x is not null), ',') flags from documents where text is not null")
 def suspicious_flags(spark, d):
-    return t(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(redact.suspicious(TEXT), ",").alias("flags"))
+    return t(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(redact.suspicious(text()), ",").alias("flags"))
 
 
 @query()
 def content_safety(spark, d):
-    return t(spark, d, "documents").select("doc_id", redact.content_safety(TEXT).alias("s")).select("doc_id", "s.status", F.sha2("s.text", 256).alias("text_hash"))
+    return t(spark, d, "documents").select("doc_id", redact.content_safety(text()).alias("s")).select("doc_id", "s.status", F.sha2("s.text", 256).alias("text_hash"))
 
 
 def _dehydrate_sql() -> str:
@@ -268,7 +273,7 @@ def _dehydrate_sql() -> str:
 
 @query()
 def dehydrate_text(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", F.sha2(T.dehydrate(TEXT), 256).alias("compact_hash"))
+    return t(spark, d, "conversations").select("conv_id", "turn", F.sha2(T.dehydrate(text()), 256).alias("compact_hash"))
 
 
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(len(h)//2), lambda i: ('0x'||substr(h, 2*i+1, 2))::BIGINT)), lambda a, b: (xor(a, b) * 16777619) & 4294967295)"
@@ -307,7 +312,7 @@ def topics(spark, d):
 u as (select doc_id, list_filter(a, lambda x, i: list_position(a, x) = i)[1:20] a from w) select doc_id, array_to_string(a, '|') entities from u"""
 )
 def entities(spark, d):
-    return t(spark, d, "documents").where("text is not null").select("doc_id", joined(documents.capital_words(TEXT)).alias("entities"))
+    return t(spark, d, "documents").where("text is not null").select("doc_id", joined(documents.capital_words(text())).alias("entities"))
 
 
 @query(
@@ -315,7 +320,7 @@ def entities(spark, d):
 when lower(text) like '%assum%' then 'assumption' when lower(text) like '%constraint%' then 'constraint' end as class from conversations"""
 )
 def doc_synthesis(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", documents.synthesis_class(TEXT).alias("class"))
+    return t(spark, d, "conversations").select("conv_id", "turn", documents.synthesis_class(text()).alias("class"))
 
 
 _REF = "case when r like 'http%' and (r like '%/api/%' or r like '%/v1/%' or r like '%/v2/%') then 'api_endpoint' when r like 'http%' then 'url' when contains(r, '.') and not contains(r, ' ') then 'related_file' else 'url' end"
@@ -367,7 +372,7 @@ def page_hosts(spark, d):
 
 @query()
 def db_strings(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", config.database_strings(TEXT).alias("s"))
+    docs = t(spark, d, "documents").select("doc_id", config.database_strings(text()).alias("s"))
     return docs.select("doc_id", F.size("s").cast("bigint").alias("n"), joined(F.col("s")).alias("strings"))
 
 
@@ -573,7 +578,7 @@ def stale_runs(spark, d):
 def run_diff(spark, d):
     docs = t(spark, d, "documents")
     before = docs.join(t(spark, d, "labels").select("doc_id"), "doc_id").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    after = docs.select("doc_id", F.sha2(redact.redact_secrets(TEXT), 256).alias("content_hash"))
+    after = docs.select("doc_id", F.sha2(redact.redact_secrets(text()), 256).alias("content_hash"))
     return store.diff(before, after, ["doc_id"])
 
 
@@ -584,7 +589,7 @@ def run_diff(spark, d):
 def version_events(spark, d):
     docs = t(spark, d, "documents")
     known = docs.join(t(spark, d, "labels").select("doc_id"), "doc_id").select("doc_id", F.sha2("text", 256).alias("h"))
-    return store.version_events(known, docs.select("doc_id", F.sha2(redact.redact_secrets(TEXT), 256).alias("h")), "doc_id", "h")
+    return store.version_events(known, docs.select("doc_id", F.sha2(redact.redact_secrets(text()), 256).alias("h")), "doc_id", "h")
 
 
 @query(
@@ -648,7 +653,7 @@ def snapshot_stats(spark, d):
     "count(*) filter (octet_length(encode(text)) < 500000) n_normal, count(*) filter (octet_length(encode(text)) >= 500000 and octet_length(encode(text)) < 5000000) n_large from documents"
 )
 def ingest_metrics(spark, d):
-    files = t(spark, d, "documents").select(F.when(TEXT.isNull(), "failed").otherwise("processed").alias("status"), T.size_tag(F.lit("doc"), TEXT).alias("tag"), F.octet_length("text").alias("size"))
+    files = t(spark, d, "documents").select(F.when(text().isNull(), "failed").otherwise("processed").alias("status"), T.size_tag(F.lit("doc"), text()).alias("tag"), F.octet_length("text").alias("size"))
     files = files.withColumn("tag", F.when(F.col("status") == "processed", F.col("tag")))
     return notebook.ingest_stats(files).select("attempted", "processed", "failed", F.col("source_bytes").cast("bigint").alias("source_bytes"), "n_normal", "n_large")
 
@@ -731,7 +736,7 @@ def slowest_five(spark, d):
 
 @query("select item_id, '<item><id>' || item_id || '</id><text>' || replace(replace(replace(text,'&','&amp;'),'<','&lt;'),'>','&gt;') || '</text></item>' as xml from benchmark")
 def xml_records(spark, d):
-    return t(spark, d, "benchmark").select("item_id", logs.xml_record("item", {"id": F.col("item_id"), "text": TEXT}).alias("xml"))
+    return t(spark, d, "benchmark").select("item_id", logs.xml_record("item", {"id": F.col("item_id"), "text": text()}).alias("xml"))
 
 
 @query()
@@ -750,7 +755,7 @@ def packed_roundtrip(spark, d):
 def project_overview(spark, d):
     """Per project: files, distinct contents, duplicates, sizes, and files with a redacted secret."""
     docs = t(spark, d, "documents").select(
-        F.col("source").alias("project_id"), F.sha2("text", 256).alias("h"), T.size_tag(F.lit("doc"), TEXT).alias("tag"), (redact.redact_secrets(TEXT) != TEXT).alias("secret")
+        F.col("source").alias("project_id"), F.sha2("text", 256).alias("h"), T.size_tag(F.lit("doc"), text()).alias("tag"), (redact.redact_secrets(text()) != text()).alias("secret")
     )
     # contents are counted within (project, hash) first, so that a project of any size is spread over tasks
     kinds = docs.groupBy("project_id", "h").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tag") == "normal").alias("normal"), F.count_if("secret").alias("secrets"))
