@@ -32,20 +32,18 @@ def json_fields(text: str) -> tuple[list[str], list[str], list[str], list[str]]:
     keys: list[str] = []
     paths: list[str] = []
     env: list[str] = []
-    stack = [("", root)]
-    while stack:
-        at, value = stack.pop()
-        below = []
+    stack = [("", None, root)]
+    while stack:  # depth first, in the order of the text
+        at, key, value = stack.pop()
+        if key is not None:
+            keys.append(key)
+            paths.append(at)
+            if isinstance(value, str):
+                env += _ENV.findall(value)
         if isinstance(value, dict):
-            for k, v in value.items():
-                keys.append(k)
-                paths.append(f"{at}.{k}" if at else k)
-                if isinstance(v, str):
-                    env += _ENV.findall(v)
-                below.append((paths[-1], v))
+            stack += [(f"{at}.{k}" if at else k, k, v) for k, v in reversed(value.items())]
         elif isinstance(value, list):
-            below = [(f"{at}[{i}]", v) for i, v in enumerate(value)]
-        stack += reversed(below)
+            stack += [(f"{at}[{i}]", None, v) for i, v in reversed(list(enumerate(value)))]
     return list(root) if isinstance(root, dict) else [], _distinct(keys), paths, _distinct(env)
 
 

@@ -24,7 +24,7 @@ class _Graph:
 
     def __init__(self, title: str):
         self.nodes: dict[str, tuple] = {}
-        self.root = self.put("document", title, "", 0)
+        self.root = self.put("root", title, "", 0)
 
     def put(self, kind: str, text: str, parent: str, level: int) -> str:
         h = node_hash(kind, text, parent)
@@ -38,7 +38,7 @@ _LINK = re.compile(r"\]\(([^)]+)\)")
 
 
 def markdown(text: str, name: str = "") -> list[tuple]:
-    """Nodes of a Markdown text: document, section, paragraph, list, list_item, reference. Fenced lines are left out."""
+    """Nodes of a Markdown text: root, section, paragraph, list, list_item, reference. Fenced lines are left out."""
     lines = text.split("\n")
     title = next((m[2].strip() for line in lines if (m := _HEAD.match(line)) and len(m[1]) == 1), name)
     g = _Graph(title)
@@ -104,6 +104,8 @@ class _Walk(HTMLParser):
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.silent = max(0, self.silent - 1)
+        if tag in ("ul", "ol") and self.open and self.open[-1][0] == "li":
+            tag = "li"
         if not any(x[0] == tag for x in self.open):
             return
         while self.open:
@@ -208,7 +210,7 @@ def doc_fields(nodes: DataFrame, id_col: str) -> DataFrame:
     kind, text = F.col("node_type"), F.col("text")
     section = kind.isin("section", "heading")
     return nodes.groupBy(id_col).agg(
-        F.first(F.when(kind == "document", text), ignorenulls=True).alias("title"),
+        F.first(F.when(kind == "root", text), ignorenulls=True).alias("title"),
         pick(section).alias("sections"),
         pick(section & (F.col("level") <= 2)).alias("key_requirements"),
         pick((kind == "reference") & (reference_class(text) == "url")).alias("urls"),

@@ -27,7 +27,7 @@ _CODE_START = {
 
 def plain(text: str, name: str) -> list[tuple]:
     """Nodes of plain text: parts between blank lines, headings as sections."""
-    out, section = [("document", "", "", 0, name)], ""
+    out, section = [("root", "", "", 0, name)], ""
     for part in (p.strip() for p in text.split("\n\n")):
         if part:
             head = "\n" not in part and len(part.encode()) <= documents.HEADING_BYTES and part[-1] not in ".," and "A" <= part[0] <= "Z"
@@ -40,7 +40,7 @@ def plain(text: str, name: str) -> list[tuple]:
 def _doc(text: str, name: str, kind: str) -> dict:
     read = {"markdown": lambda t: documents.markdown(t, name), "html": documents.html}
     nodes = read.get(kind, lambda t: plain(t, name))(text)
-    out: dict[str, list | str] = {"doc.title": next((n[4] for n in nodes if n[0] == "document"), "") or name}
+    out: dict[str, list | str] = {"doc.title": next((n[4] for n in nodes if n[0] == "root"), "") or name}
 
     def add(field: str, value: str) -> None:
         out.setdefault(field, [])
