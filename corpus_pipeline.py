@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontam, langid, simhash, superkmer
+from siltstone.llm import bpe, decontam, langid, nearcopies, superkmer
 from siltstone.llm._common import checkpoint_dir, table
 from siltstone.llm.queries import rank_path
 
@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near duplicates; of rows that repeat an id, one."""
-    return simhash.one_of_each(docs).select(*docs.columns)
+    """Keeps a document of each group of near copies (five-word shingles, similarity 0.8): the smallest id, rows without one last."""
+    return nearcopies.one_of_each(docs).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

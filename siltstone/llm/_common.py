@@ -76,6 +76,21 @@ def content_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """(id, key, row): what names a row: its id, 64 bits of its text and 64 of all its columns."""
+    cells = [c for name in docs.columns for c in (docs[f"`{name}`"], docs[f"`{name}`"].isNull())]  # nulls alone leave no trace in a hash
+    return [docs[id_col].cast("bigint").alias("id"), content_key(docs[text_col]).alias("key"), F.xxhash64(*cells).alias("row")]
+
+
+def keep_rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``named`` (id, key, row) names, each once; ids are compared null-safe."""
+    id_, key, row = (c.alias(f"_{name}") for c, name in zip(row_key(docs, id_col, text_col), ("id", "key", "row"), strict=True))
+    named = named.select(F.col("id").alias("_id_"), F.col("key").alias("_key_"), F.col("row").alias("_row_"))
+    rows = docs.select("*", id_, key, row)
+    rows = rows.join(named, F.col("_id").eqNullSafe(F.col("_id_")) & (F.col("_key") == F.col("_key_")) & (F.col("_row") == F.col("_row_")), "left_semi")
+    return rows.dropDuplicates(["_id", "_key", "_row"]).drop("_id", "_key", "_row")
+
+
 def parse_schema(ddl: str):
     from pyspark.sql.types import StructType
 

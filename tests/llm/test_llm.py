@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chroma, decontam, htmlmain, langid, licenses, queries, simhash, suffix, superkmer, toxicity
+from siltstone.llm import bpe, chroma, decontam, htmlmain, langid, licenses, nearcopies, queries, simhash, suffix, superkmer, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, key string, k1 string, fp string, hits string"
@@ -224,6 +224,38 @@ def test_simhash(spark):
     assert simhash.one_of_each(table(spark, ["a", "a", "b"], [None, None, 1])).count() == 2
 
 
+def five_word_sets(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_dup_stage_finds_copies_of_similarity_080(spark):
+    """The stage's links against every pair's exact Jaccard similarity; 3 bits of three-word fingerprints miss most of these."""
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(6)
+    texts = [*ODD]
+    for i in range(30):
+        words = [f"v{n}" for n in rng.integers(0, 5_000, 200)]
+        texts.append(" ".join(words))
+        for n in (1, 2, 3, 4, 5):  # from about 0.95 to 0.78, and chains of them
+            words = list(words)
+            for at in rng.choice(200, n, replace=False):
+                words[at] = "changed" + str(rng.integers(1 << 30))
+            texts.append(" ".join(words))
+    sets = [five_word_sets(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if root[i] != root[j] and (not union or len(sets[i] & sets[j]) >= 0.8 * union):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    docs = table(spark, texts)
+    got = sorted(r["doc_id"] for r in P.near_duplicates(spark, docs, DATA).collect())
+    assert got == sorted(set(root)) and len(got) < len(simhash.one_of_each(docs).collect())
+
+
 def test_pivots_discard_no_link():
     rng = np.random.default_rng(4)
     centre = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
