@@ -54,6 +54,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     of fewer than nine words are too short to be evidence and never match; so do null and empty
     texts. Repeated items or documents give equal results; a null id is an id like any other.
     """
+    judged = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, stretch, agree)
+    best = judged.where("ok").groupBy("id", "item").agg(F.max_by(F.struct("n", "matched", "shift"), F.struct("matched", -F.col("shift"))).alias("b"))
+    return best.select(
+        F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.n").cast("bigint").alias("n_overlap"),
+        F.col("b.matched").cast("bigint").alias("n_matched"), F.col("b.shift").cast("bigint").alias("doc_word"),
+    )
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, stretch: int, agree: float) -> DataFrame:
+    """(id, key, item, shift, n, matched, ok): every alignment that a seed names; ``key`` is that of the document's text."""
     bench = benchmark.select(benchmark[item_col].alias("item"), words(benchmark[item_text_col]).alias("item_words"))
     bench = bench.where(F.size("item_words") >= SPAN).distinct()
     seed = bench.select("item", _hashes("item_words").alias("hashes")).select("item", F.explode(_seeds(F.col("hashes"))).alias("s")).select("item", F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.col(f"s.h{m}").alias("h"), F.col("s.at").alias("item_at")) for m in range(len(MASKS))])).alias("e")).select("item", "e.*")
@@ -76,23 +86,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # hits are few for each document; its words are compared where they are
     sides = rows.join(hit.withColumnsRenamed({"id": "hit_id", "key": "hit_key"}), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")))
     near = sides.join(hint(bench) if small else bench, "item").select(
-        "id", "item", "shift", "item_words",
+        "id", "key", "item", "shift", "item_words",
         _once(F.slice(words(F.col("text")), F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item_words"))).alias("own"),
     )
     skipped = F.greatest(-F.col("shift"), F.lit(0))  # words of the item before the document's start
     same = F.transform("item_words", lambda w, i: F.when((i >= skipped) & (F.get("own", i - skipped) == w), 1).otherwise(0))
-    near = near.select("id", "item", "shift", F.size("item_words").alias("n"), _once(same).alias("same"))
+    near = near.select("id", "key", "item", "shift", F.size("item_words").alias("n"), _once(same).alias("same"))
     width = F.least(F.lit(stretch), F.col("n"))
     sums = F.transform(F.sequence(F.lit(1), F.col("n") - width + 1), lambda s: F.aggregate(F.slice("same", s, width), F.lit(0), lambda a, x: a + x))
-    judged = near.select("id", "item", "shift", "n", F.aggregate("same", F.lit(0), lambda a, x: a + x).alias("matched"), (F.array_max(sums) >= F.ceil(width * agree)).alias("ok"))
-    best = judged.where("ok").groupBy("id", "item").agg(F.max_by(F.struct("n", "matched", "shift"), F.struct("matched", -F.col("shift"))).alias("b"))
-    return best.select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.n").cast("bigint").alias("n_overlap"),
-        F.col("b.matched").cast("bigint").alias("n_matched"), F.col("b.shift").cast("bigint").alias("doc_word"),
-    )
+    return near.select("id", "key", "item", "shift", "n", F.aggregate("same", F.lit(0), lambda a, x: a + x).alias("matched"), (F.array_max(sums) >= F.ceil(width * agree)).alias("ok"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; rows that share a contaminated id all go."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_bad_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stretch: int = 20, agree: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; rows that share an id, null too, are told apart by their texts."""
+    judged = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, stretch, agree)
+    bad = judged.where("ok").select(F.col("id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
+    return docs.join(bad, docs[id_col].cast("bigint").eqNullSafe(F.col("_bad_id")) & (content_key(docs[text_col]) == F.col("_bad_key")), "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import components
-from siltstone.llm._common import durable, held, shuffle_partitions, slices
+from siltstone.llm._common import durable, held, keep_rows, row_key, shuffle_partitions, slices
 
 SEED = 42
 N_PIVOTS = 16
@@ -62,16 +62,22 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int.from_bytes(bits.tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of each row's whole text as a signed 64-bit number. Null counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, keyed: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint of each row's whole text as a signed 64-bit number. Null counts as empty.
+
+    ``keyed`` adds (key, row) of ``row_key``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("simhash")
         for batch in slices(batches):
             fps = np.array([fingerprint(t, words_per_shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *names])
 
-    return docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id bigint, fp bigint")
+    id_, *keys = row_key(docs, id_col, text_col)
+    names = ["key", "row"] if keyed else []
+    rows = docs.select(id_, docs[text_col].alias("text"), *(keys if keyed else []))
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ["id", "fp", *names]))
 
 
 def _links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +159,15 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "a bigint, b bigint")
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root) for each distinct fingerprint of ``prints`` (id, fp): its smallest id, and a fingerprint that names its component."""
+    # a row for each distinct fingerprint takes part in the search, whatever the number of copies
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    found = durable(links(distinct.select("fp"), radius))
+    label = components.connect(found)  # fp -> root, for linked fingerprints only
+    return durable(distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 3) -> DataFrame:
     """(id, fp, component): each row's fingerprint and the smallest id reachable over links.
 
@@ -160,13 +175,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own with equal results; rows with a null id get a component but never name one, unless all of the
     component's ids are null. An empty table gives an empty result.
     """
-    # a row for each distinct fingerprint takes part in the search, whatever the number of copies
     prints = durable(fingerprints(docs, id_col, text_col, words_per_shingle))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    found = durable(links(distinct.select("fp"), radius))
-    label = components.connect(found)  # fp -> root, for linked fingerprints only
-    named = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = durable(named)
+    named = _rooted(prints, radius)
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     of_print = named.join(smallest, "root").select("fp", "component")
     return prints.join(of_print, "fp").select(F.col("id").alias(id_col), "fp", "component")
@@ -175,13 +185,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near duplicates.
 
-    The row of smallest id stays; of several rows with that id the one whose columns sort first. Rows
-    with a null id stay only if no row of their group has an id. No text is moved: the ids kept
-    are joined back to the rows.
+    The row of smallest id stays, rows with a null id last; of several rows with that id the one of smallest
+    key of the text, then of all columns. Rows of equal ids are rows of their own.
     """
-    key = "_kept_id"
-    found = near_duplicates(docs, id_col, text_col, words_per_shingle, radius)
-    # a row for each group; ids are compared null-safe so that a group of null ids keeps one
-    kept = found.groupBy("component").agg(F.min(id_col).alias(key)).select(key).distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept[key]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    prints = durable(fingerprints(docs, id_col, text_col, words_per_shingle, keyed=True))
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "row")).alias("best")
+    kept = prints.groupBy("fp").agg(best).join(_rooted(prints, radius).select("fp", "root"), "fp")
+    kept = kept.groupBy("root").agg(F.min("best").alias("best")).select("best.*")
+    return keep_rows(docs, kept, id_col, text_col)

@@ -256,6 +256,21 @@ def test_near_dup_stage_finds_copies_of_similarity_080(spark):
     assert got == sorted(set(root)) and len(got) < len(simhash.one_of_each(docs).collect())
 
 
+def test_rows_without_an_id_or_of_one_id_stay_apart(spark):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(WORDS, 60)) for _ in range(6)]
+    docs = table(spark, [*texts, texts[0], texts[4], texts[1]], [None, None, None, 7, 7, 8, None, 9, 3])
+    want = sorted((i, t) for i, t in [(-1, texts[0]), (3, texts[1]), (-1, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])])
+    for out in (simhash.one_of_each(docs), P.near_duplicates(spark, docs, DATA)):
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in out.collect()) == want
+    item = " ".join(f"q{i}" for i in range(40))
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = table(spark, [item, texts[0], None, f"x {item}", texts[1]], [None, None, None, 7, 7])
+    assert {r["text"] for r in decontam.clean(docs, bench).collect()} == {texts[0], None, texts[1]} and decontam.contaminated(docs, bench).count() == 2
+
+
 def test_pivots_discard_no_link():
     rng = np.random.default_rng(4)
     centre = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
