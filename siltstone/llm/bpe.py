@@ -3,12 +3,17 @@
 Encoding. A rank file gives every token's bytes and rank; merging always joins the adjacent pair
 whose concatenation has the lowest rank, leftmost first. The tokens of a string are then the only
 sequence of tokens in which every adjacent pair is itself a fixed point of merging, so they can be
-found from left to right: after each byte the last token of the prefix is the one candidate that
-may follow the tokens before it. A state of the transducer is the set of places where a token may
-still be growing (a node of the vocabulary trie) with the tokens pending since the last
-certain one; tokens that all of them share are emitted. The vocabulary's longest token bounds how
-long a token can stay pending, so the lookahead is bounded. States and arcs are made when first
-needed and kept in a bounded table.
+found from left to right: after each byte the last token of the prefix is the longest one ending there
+that may follow the token before it. Tokens may start anywhere, so the recogniser of the vocabulary's trie is
+nondeterministic; its subset states are made deterministic when first reached. Each is named by its
+deepest trie node, since the others are suffixes of that. An arc leads to the next state and to the
+tokens that end there. Every ``lookahead`` bytes the paths back from the places where a token may still be growing
+are followed to where they meet; what lies before is certain and emitted. Those places reach no further
+back than the state's depth, at most the longest token.
+
+All distinct words of some documents are run in step, a byte of each at a time, so that an arc is a lookup in an
+array. Words are kept with their output, like longer arcs, in a bounded table, since a corpus says the same ones over
+and over.
 
 Decoding. Ids are turned into bytes chunk by chunk; a byte-level UTF-8 state machine holds back an
 unfinished character until the next chunk and replaces ill-formed sequences, so that any split of
@@ -19,6 +24,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -28,11 +35,20 @@ from pyspark.sql import DataFrame
 
 from siltstone.llm._common import held, slices
 
-#: ``\s`` as the Unicode property; it is the same set for every engine then.
-SPLIT = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
-    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
+
+def splitter(pattern: str | None = None):
+    """Finds the pieces of a text by ``pattern``, by default ``public_tokenizers.PATTERN``.
+
+    ``\\s`` and ``\\S`` are read as the Unicode property White_Space, as tokenizer libraries read them; Python's
+    engines count four control characters in.
+    """
+    import regex
+
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -81,175 +97,330 @@ class Merges:
         return parts
 
 
+class Table:
+    """A map of 63-bit numbers to 63-bit numbers whose lookups take arrays: open addressing, at most half full."""
+
+    def __init__(self, bits: int = 14):
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and which keys there are."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        there = held == keys
+        out = self.values[slot]
+        (rest,) = np.nonzero(~there & (held >= 0))
+        mask = (1 << self.bits) - 1
+        at = slot[rest]
+        while len(rest):
+            at = at + 1 & mask
+            held = self.keys[at]
+            hit = held == keys[rest]
+            there[rest[hit]] = True
+            out[rest[hit]] = self.values[at[hit]]
+            on = ~hit & (held >= 0)
+            rest, at = rest[on], at[on]
+        return out, there
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that aren't there; all differ."""
+        if 2 * (self.size + len(keys)) > 1 << self.bits:
+            old, kept = self.keys, self.values
+            self.bits = max(self.bits + 1, (4 * (self.size + len(keys))).bit_length())
+            self.keys, self.values, self.size = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), 0
+            self.put(old[old >= 0], kept[old >= 0])
+        self.size += len(keys)
+        slot, mask = self._slot(keys), (1 << self.bits) - 1
+        while len(keys):
+            free = self.keys[slot] < 0
+            _, first = np.unique(slot, return_index=True)  # of several for one place the first gets it
+            take = np.zeros(len(keys), bool)
+            take[first] = True
+            take &= free
+            self.keys[slot[take]], self.values[slot[take]] = keys[take], values[take]
+            keys, values, slot = keys[~take], values[~take], slot[~take] + 1 & mask
+
+
 class Transducer:
-    """Emits the tokens of a byte string. ``max_states`` bounds the table of states kept."""
+    """Emits the tokens of byte strings while it reads them. ``max_arcs`` and ``max_borders`` bound what is kept."""
 
     ROOT = 0
+    #: Tokens that may end at a place besides the first so many are asked for one by one.
+    WIDE = 6
 
-    def __init__(self, merges: Merges, max_states: int = 180_000):
-        self.merges, self.max_states = merges, max_states
+    def __init__(self, merges: Merges, lookahead: int = 64, max_arcs: int = 400_000, max_borders: int = 500_000):
+        self.merges, self.lookahead, self.max_arcs, self.max_borders = merges, lookahead, max_arcs, max_borders
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
         self.token_at: dict[int, int] = {}
-        nodes = 1
+        self.above, self.depth = [(0, 0)], [0]  # parent and byte of each node; its length
         for token, rank in merges.ranks.items():
             if rank in merges.dead:
                 continue
-            node = 0
-            for b in token:
+            node = self.ROOT
+            for n, b in enumerate(token, 1):
                 nxt = self.child.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self.child[node << 8 | b] = nodes
-                    nodes += 1
+                    nxt = self.child[node << 8 | b] = len(self.depth)
+                    self.above.append((node, b))
+                    self.depth.append(n)
                 node = nxt
             self.token_at[node] = rank
-        self.inner = {at >> 8 for at in self.child}  # nodes from which a token can go on
-        self.holds: dict[int, bool] = {}
+        self.shorter: dict[int, int] = {}
+        self.length = np.zeros(max(merges.length) + 2, np.int64)  # by token + 1
+        for rank, n in merges.length.items():
+            self.length[rank + 1] = n
         self._reset()
+        self.borders = Table()
 
     def _reset(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.arcs: dict[int, int] = {}  # state << 8 | byte -> next state << 24 | token + 1
-        self.start = self._state(((self.ROOT, -1),))
-
-    def _state(self, key: tuple) -> int:
-        found = self.ids.get(key)
-        if found is None:
-            found = self.ids[key] = len(self.states)
-            self.states.append(key)
+        """No states but the start. A state has a number, its trie node, and the tokens that end there."""
+        self.arcs, self.number, self.node = Table(), {self.ROOT: 0}, [self.ROOT]
+        self.ending: list[tuple[int, ...]] = [()]
+        self.first = np.full((1024, self.WIDE), -1, np.int64)  # the longest of them, for lookups by arrays
+
+    def _suffix(self, node: int) -> int:
+        """The longest proper suffix of the node's string that is in the trie."""
+        if self.depth[node] < 2:
+            return self.ROOT
+        if (known := self.shorter.get(node)) is None:
+            parent, byte = self.above[node]
+            known = self.shorter[node] = self._next(self._suffix(parent), byte)
+        return known
+
+    def _next(self, node: int, byte: int) -> int:
+        while (found := self.child.get(node << 8 | byte)) is None:
+            if node == self.ROOT:
+                return self.ROOT
+            node = self._suffix(node)
         return found
 
+    def _state(self, node: int) -> int:
+        """The number of the subset state whose deepest node is ``node``."""
+        if (known := self.number.get(node)) is None:
+            known = self.number[node] = len(self.node)
+            self.node.append(node)
+            ending = []
+            while node != self.ROOT:  # longest first
+                if (token := self.token_at.get(node)) is not None:
+                    ending.append(token)
+                node = self._suffix(node)
+            self.ending.append(tuple(ending))
+            if known >= len(self.first):
+                self.first = np.concatenate([self.first, np.full_like(self.first, -1)])
+            self.first[known, : min(len(ending), self.WIDE)] = ending[: self.WIDE]
+        return known
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next states; arcs that aren't there yet are made."""
+        key = state << 8 | byte
+        to, there = self.arcs.get(key)
+        if not there.all():
+            new = np.unique(key[~there])
+            made = np.array([self._state(self._next(self.node[k >> 8], k & 255)) for k in new.tolist()], np.int64)
+            self.arcs.put(new, made)
+            to, _ = self.arcs.get(key)
+        return to
+
     def may_follow(self, a: int, b: int) -> bool:
-        """Whether merging leaves the border between tokens a and b alone.
+        """Whether merging leaves the border between tokens a and b alone; a of -1 is the start of the string.
 
         Undoes the merges at the border from the last to the first; a pair that would have joined
         across it earlier than the merge undone rules the border out. Of equal ranks the left one
         is merged first.
         """
-        key = a << 20 | b
-        if (known := self.holds.get(key)) is not None:
-            return known
         joined, first, second, before = self.merges.joined.get, self.merges.first, self.merges.second, 1 << 40
-        while True:
+        while a >= 0:
             if joined(a << 20 | b, before) < before:
-                out = False
-                break
+                return False
             born_a, born_b = a if a in first else -1, b if b in first else -1
             if born_a < 0 and born_b < 0:
-                out = True
-                break
+                return True
             if born_a > born_b:
                 before, a = born_a, second[a]
             else:
                 before, b = born_b + 1, first[b]
-        if len(self.holds) > 300_000:
-            self.holds.clear()
-        self.holds[key] = out
+        return True
+
+    def _border(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        key = before + 1 << 20 | token
+        ok, there = self.borders.get(key)
+        if not there.all():
+            new = np.unique(key[~there])
+            made = np.array([self.may_follow((k >> 20) - 1, k & 0xFFFFF) for k in new.tolist()], np.int64)
+            if self.borders.size + len(new) > self.max_borders:
+                self.borders = Table()
+            self.borders.put(new, made)
+            ok = ok.copy()
+            ok[~there] = made[np.searchsorted(new, key[~there])]
+        return ok > 0
+
+    def run(self, pieces: list[bytes]) -> list[bytes]:
+        """The tokens of each piece, as little-endian 32-bit numbers."""
+        if self.arcs.size > self.max_arcs:
+            self._reset()
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-sizes, kind="stable")  # the pieces that are still being read come first
+        made: list[list[np.ndarray]] = []  # (piece, tokens) of each window
+        n = np.searchsorted(-sizes[order], -np.arange(1, sizes.max(initial=0) + 1), "right")
+        begins = (np.cumsum(sizes) - sizes)[order]
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        state = np.zeros(len(pieces), np.int64)
+        depth = np.array(self.depth)
+        # ends[i, at]: the token that ends at byte ``at`` since the last one emitted, which itself is at 0
+        width = 2 * self.lookahead + self.merges.longest + 1
+        ends = np.full((len(pieces), min(width, int(sizes.max(initial=0)) + 1)), -1, np.int64)
+        at = np.zeros(len(pieces), np.int64)
+        for place, m in enumerate(n.tolist()):
+            if ends.shape[0] > 2 * m:
+                ends = ends[:m].copy()
+            state[:m] = self.step(state[:m], flat[begins[:m] + place].astype(np.int64))
+            at[:m] += 1
+            open_ = np.arange(m)
+            for k in range(self.WIDE):
+                token = self.first[state[open_], k]
+                if (token < 0).any():
+                    raise ValueError("the ranks lack a token for a single byte")
+                ok = self._border(ends[open_, at[open_] - self.length[token + 1]], token)
+                ends[open_[ok], at[open_[ok]]] = token[ok]
+                open_ = open_[~ok]
+                if not len(open_):
+                    break
+                if k == self.WIDE - 1 or (self.first[state[open_], k + 1] < 0).any():
+                    for i in open_.tolist():
+                        self._late(ends, i, int(at[i]), int(state[i]), k + 1)
+                    break
+            if place + 1 < len(n) and place + 1 >= self.lookahead:
+                going = int(n[place + 1])
+                for i in np.flatnonzero(at[:going] >= 2 * self.lookahead - 1).tolist() if (place + 1) % self.lookahead == 0 or ends.shape[1] - 2 <= at[:going].max() else ():
+                    sure = self._sure(ends[i], int(at[i]), int(depth[self.node[state[i]]]))
+                    if sure:
+                        made.append((order[i : i + 1], self._back(ends[i], sure)))
+                        ends[i, : at[i] - sure + 1] = ends[i, sure : at[i] + 1].copy()
+                        at[i] -= sure
+                if going and ends.shape[1] - 2 <= at[:going].max():  # nothing was certain for long: go on with more room
+                    ends = np.concatenate([ends, np.full_like(ends, -1)], 1)
+            done = int(n[place + 1]) if place + 1 < len(n) else 0
+            if done < m:
+                made += self._finish(ends, at, order, done, m)
+        parts: dict[int, list[bytes]] = {}
+        out: list[bytes] = [b""] * len(pieces)
+        for who, tokens in made:
+            if len(who) == 1 and tokens.ndim == 1:
+                parts.setdefault(int(who[0]), []).append(tokens.astype("<u4").tobytes())
+                continue
+            count = (tokens >= 0).sum(1)
+            data = tokens[tokens >= 0].astype("<u4").tobytes()
+            stop = np.cumsum(count * 4)
+            for i, a, b in zip(who.tolist(), (stop - count * 4).tolist(), stop.tolist(), strict=True):
+                out[i] = data[a:b]
+        for i, before in parts.items():
+            out[i] = b"".join([*before, out[i]])
         return out
 
-    def _arc(self, state: int, byte: int) -> int:
-        """The next state, and the token that ends here in the tokens of the prefix."""
-        child, inner, token_at, holds = self.child, self.inner, self.token_at, self.holds
-        places, found = [], -1
-        for node, last in self.states[state]:  # the longest growing token first
-            node = child.get(node << 8 | byte)
-            if node is None:
-                continue
-            if node in inner:
-                places.append((node, last))
-            if found < 0 and (t := token_at.get(node)) is not None:
-                if last < 0 or (ok := holds.get(last << 20 | t)) or (ok is None and self.may_follow(last, t)):
-                    found = t
-        places.append((self.ROOT, found))
-        return self._state(tuple(places)) << 24 | found + 1
-
-    def run(self, data: bytes, window: int = 4096) -> list[int]:
-        """Tokens of ``data``. The last token of each prefix is kept until it is certain: every
-        ``window`` bytes the paths back from the places still growing are followed to where they meet,
-        and what lies before is emitted."""
-        out: list[int] = []
-        if len(self.states) > self.max_states:
-            self._reset()
-        state, arcs = self.start, self.arcs
-        ends: list[int] = []  # for each byte since the last one emitted, the token that ends there
-        for byte in data:
-            arc = arcs.get(state << 8 | byte)
-            if arc is None:
-                arc = arcs[state << 8 | byte] = self._arc(state, byte)
-            state = arc >> 24
-            ends.append((arc & 0xFFFFFF) - 1)
-            if len(ends) >= window:
-                sure = self._meet(ends)
-                out += self._back(ends, sure)
-                del ends[:sure]
-        return out + self._back(ends, len(ends))
-
-    def _back(self, ends: list[int], n: int) -> list[int]:
-        length, path = self.merges.length, []
+    def _late(self, ends: np.ndarray, i: int, at: int, state: int, k: int) -> None:
+        """The first of the shorter tokens ending here that fits."""
+        for token in self.ending[state][k:]:
+            if self.may_follow(int(ends[i, at - self.merges.length[token]]), token):
+                ends[i, at] = token
+                return
+        raise ValueError("the ranks lack a token for a single byte")
+
+    def _finish(self, ends: np.ndarray, at: np.ndarray, order: np.ndarray, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Tokens of the pieces low to high, which end here, by the paths back; -1 fills the rows up."""
+        who, left, columns = np.arange(low, high), at[low:high].copy(), []
+        while (left > 0).any():
+            token = np.where(left > 0, ends[who, left], -1)
+            columns.append(token)
+            left -= self.length[token + 1]
+        rows = np.stack(columns[::-1], 1) if columns else np.zeros((len(who), 0), np.int64)
+        return [(order[low:high], rows)]
+
+    def _back(self, ends: np.ndarray, n: int) -> np.ndarray:
+        path = []
         while n > 0:
-            path.append(t := ends[n - 1])
-            n -= length[t]
-        return path[::-1]
+            path.append(int(ends[n]))
+            n -= self.merges.length[path[-1]]
+        return np.array(path[::-1])
 
-    def _meet(self, ends: list[int]) -> int:
+    def _sure(self, ends: np.ndarray, at: int, depth: int) -> int:
         """Where the paths back from every place a token may still grow from come together."""
-        length = self.merges.length
-        live = set(range(max(0, len(ends) - self.merges.longest), len(ends) + 1))
+        length, live = self.merges.length, set(range(at - depth, at + 1))
         while len(live) > 1:
             n = max(live)
             live.discard(n)
-            live.add(n - length[ends[n - 1]])
+            live.add(n - length[int(ends[n])])
         return max(0, live.pop())
 
 
 class Encoder:
-    """Splits text into pieces and runs the transducer on each; results of short pieces are kept.
+    """Splits texts into pieces and runs the transducer over the distinct ones.
 
     A single space before a character that isn't white space always starts a piece, so text without
-    runs of spaces is first cut there, and whole words are looked up.
+    runs of spaces is first cut there, and whole words are looked up; up to ``max_words`` of at most ``longest``
+    characters are kept between calls. ``at_once`` pieces are run in step.
     """
 
-    def __init__(self, merges: Merges, pattern: str = SPLIT, max_pieces: int = 150_000):
-        import regex
-
-        self.pieces = regex.compile(pattern).findall
-        self.fst, self.max_pieces = Transducer(merges), max_pieces
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # keys lack the space before the word
-
-    def _keep(self, kept: dict[str, bytes], key: str, ids: bytes) -> bytes:
-        if len(key) <= 40:
-            if len(kept) >= self.max_pieces:
-                kept.clear()
-            kept[key] = ids
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        return self._keep(self.known, piece, np.array(self.fst.run(piece.encode()), "<u4").tobytes())
-
-    def _text(self, text: str) -> bytes:
-        known, made = self.known, []
-        for piece in self.pieces(text):
-            made.append(known.get(piece) or self._piece(piece))
-        return b"".join(made)
-
-    def _word(self, word: str) -> bytes:
-        pieces = self.pieces(f" {word}")
-        if len(pieces) > 1:
-            ids = b"".join(self.known.get(p) or self._piece(p) for p in pieces)
-        else:  # kept as a word, so not as a piece too
-            ids = np.array(self.fst.run(pieces[0].encode()), "<u4").tobytes()
-        return ids if "\n" in word else self._keep(self.words, word, ids)
+    def __init__(self, merges: Merges, pattern: str | None = None, max_words: int = 150_000, longest: int = 40, at_once: int = 16_384):
+        self.pieces, self.fst = splitter(pattern), Transducer(merges)
+        self.max_words, self.longest, self.at_once = max_words, longest, at_once
+        self.words: dict[str, bytes] = {}  # keys have the space before the word
+        #: Tokens that merging never makes; a piece that is one is that token all the same.
+        self.whole = {merges.bytes_of[rank].decode(): rank for rank in merges.dead if _is_text(merges.bytes_of[rank])}
+
+    def _run(self, pieces: list[str], known: dict[str, bytes]) -> None:
+        """Puts the tokens of pieces into ``known``."""
+        pieces.sort(key=len)
+        for i in range(0, len(pieces), self.at_once):
+            part = pieces[i : i + self.at_once]
+            known.update(zip(part, self.fst.run([p.encode() for p in part]), strict=True))
+        for piece in self.whole.keys() & pieces if self.whole else ():
+            known[piece] = array("I", [self.whole[piece]]).tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        known, split = self.words, []
+        for text in texts:
+            if not text:
+                split.append([])
+            elif "  " in text or text[-1] == " " or "\n" in text and " \n" in text:
+                split.append(self.pieces(text))
+            else:
+                first, *rest = text.split(" ")
+                split.append([*self.pieces(first), *map(" ".__add__, rest)])
+        new = set().union(*split).difference(known)
+        if len(known) + len(new) > self.max_words:
+            known = self.words = {}
+            new = set().union(*split)
+        # words of letters alone are one piece; of others the pieces are found first
+        several = {word: found for word in new if not word[1:].isalpha() and len(found := self.pieces(word)) > 1}
+        missing = new.difference(several)
+        missing.update(p for found in several.values() for p in found if p not in known)
+        self._run(list(missing), known)
+        for word, found in several.items():
+            known[word] = b"".join(map(known.__getitem__, found))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+        if len(known) > self.max_words:
+            self.words = {}
+        else:
+            for word in new:
+                if len(word) > self.longest:
+                    del known[word]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        if not text or "  " in text or text[-1] == " ":
-            return np.frombuffer(self._text(text), "<u4")
-        first, *rest = text.split(" ")
-        made = list(map(self.words.get, rest))
-        if None in made:
-            words = self.words
-            made = [ids or words.get(word) or self._word(word) for word, ids in zip(rest, made, strict=True)]
-        return np.frombuffer(self._text(first) + b"".join(made), "<u4")
+        return self.encode_all([text])[0]
+
+
+def _is_text(data: bytes) -> bool:
+    try:
+        return bool(data.decode())
+    except UnicodeDecodeError:
+        return False
 
 
 class Decoder:
@@ -272,45 +443,66 @@ class Decoder:
             yield self.flat[np.arange(total) + np.repeat(self.at[part] - (ends - length), length)].tobytes()
 
 
-#: Lead byte -> (bytes still to come, smallest and largest value of the next byte).
-_LEAD = (
-    {b: (1, 0x80, 0xBF) for b in range(0xC2, 0xE0)}
-    | {b: (2, 0x80, 0xBF) for b in range(0xE1, 0xF0)}
-    | {0xE0: (2, 0xA0, 0xBF), 0xED: (2, 0x80, 0x9F)}
-    | {b: (3, 0x80, 0xBF) for b in range(0xF1, 0xF4)}
-    | {0xF0: (3, 0x90, 0xBF), 0xF4: (3, 0x80, 0x8F)}
-)
+def _utf8_states() -> list[bytes]:
+    """The next state for each state and byte. 0: between characters; 1, 2, 3: so many bytes to come, of any value; 4 to 7:
+    after E0, ED, F0 and F4, whose second byte is restricted; 8: ill-formed."""
+    tables = [bytearray([8]) * 256 for _ in range(8)]
+
+    def arc(state: int, low: int, high: int, to: int) -> None:
+        tables[state][low : high + 1] = bytes([to]) * (high + 1 - low)
+
+    for state, low, high, to in (
+        (0, 0x00, 0x7F, 0), (0, 0xC2, 0xDF, 1), (0, 0xE0, 0xE0, 4), (0, 0xE1, 0xEF, 2), (0, 0xED, 0xED, 5), (0, 0xF0, 0xF0, 6), (0, 0xF1, 0xF3, 3),
+        (0, 0xF4, 0xF4, 7), (1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2),
+    ):
+        arc(state, low, high, to)
+    return [bytes(t) for t in tables]
+
+
+_NEXT = _utf8_states()
+_HIGH = re.compile(rb"[\x80-\xff]+")
 
 
 class Utf8Stream:
-    """Incremental UTF-8 state machine; ill-formed sequences become U+FFFD, one for each maximal part."""
+    """Incremental UTF-8 state machine; ill-formed sequences become U+FFFD, one for each maximal part.
+
+    Bytes below 0x80 never change the state between characters, so the machine is run over the runs of other bytes;
+    what it has accepted is converted in one go.
+    """
 
     def __init__(self) -> None:
-        self.held = b""
+        self.state, self.held = 0, b""
 
     def feed(self, data: bytes, last: bool = False) -> str:
-        data = self.held + data
-        keep = 0 if last else self._unfinished(data)
-        self.held = data[len(data) - keep :]
-        return data[: len(data) - keep].decode("utf-8", "replace")
-
-    @staticmethod
-    def _unfinished(data: bytes) -> int:
-        """Length of the character at the end that more bytes may still complete."""
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b < 0x80:
-                return 0
-            if b >= 0xC0:
-                need, low, high = _LEAD.get(b, (0, 0, 0))
-                rest = data[len(data) - back + 1 :]
-                if not need or len(rest) >= need:
-                    return 0
-                for i, x in enumerate(rest):
-                    if not (low if i == 0 else 0x80) <= x <= (high if i == 0 else 0xBF):
-                        return 0
-                return back
-        return 0
+        begun = len(self.held)
+        data, state, out = self.held + data, self.state, []
+        first, char = 0, 0  # what isn't emitted yet, and the character being read
+        for run in _HIGH.finditer(data, begun):
+            if state and run.start() > begun:  # an ASCII byte cuts the held character short
+                out += data[first:char].decode(), "\ufffd"
+                first, state = begun, 0
+            for at, byte in enumerate(run[0], run.start()):
+                if not state:
+                    char = at
+                state = _NEXT[state][byte]
+                while state == 8:
+                    out += data[first:char].decode(), "\ufffd"
+                    cut = at if at > char else at + 1
+                    first = char = cut
+                    state = _NEXT[0][byte] if cut == at else 0
+            if state and (run.end() < len(data)):
+                out += data[first:char].decode(), "\ufffd"
+                first, state = run.end(), 0
+        if state and begun and char == 0 and not _HIGH.search(data, begun) and len(data) > begun:
+            out.append("\ufffd")
+            first, state = begun, 0
+        end = char if state else len(data)
+        out.append(data[first:end].decode())
+        if state and last:
+            out.append("\ufffd")
+            state, end = 0, len(data)
+        self.state, self.held = state, data[end:] if state else b""
+        return "".join(out)
 
 
 def decode_text(decoder: Decoder, ids: Iterable[int]) -> str:
@@ -320,10 +512,8 @@ def decode_text(decoder: Decoder, ids: Iterable[int]) -> str:
     return "".join([*parts, machine.feed(b"", last=True)])
 
 
-def encode_documents(
-    docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
-) -> DataFrame:
-    """A row for each row of ``docs``: n_tokens, digests of the ids and of the decoded bytes.
+def encode_documents(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """A row for each row of ``docs``: n_tokens, digests of the ids and of the decoded bytes, and whether the text came back.
 
     With ``with_ids`` also ``ids`` (array of int) and ``decoded`` (text from the streaming decoder).
     Null text counts as empty; repeated rows are encoded one by one; other columns are not read. The
@@ -332,28 +522,29 @@ def encode_documents(
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_ranks(rank_file))
-    schema = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     schema += ", ids array<int>, decoded string" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _tools(shared)
         for batch in slices(batches):
-            count, of_ids, of_bytes, ids_out, text_out = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = encoder.encode(text or "")
+            count, of_ids, of_bytes, same, ids_out, text_out = [], [], [], [], [], []
+            texts = batch.column(1).to_pylist()
+            for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
                 digest, machine, parts = hashlib.sha256(), Utf8Stream(), []
                 for chunk in decoder.stream(ids):
                     digest.update(chunk)
-                    if with_ids:
-                        parts.append(machine.feed(chunk))
+                    parts.append(machine.feed(chunk))
+                decoded = "".join([*parts, machine.feed(b"", last=True)])
                 count.append(len(ids))
                 of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 of_bytes.append(digest.hexdigest())
+                same.append(decoded == (text or ""))
                 if with_ids:
                     ids_out.append(ids.astype(np.int32))
-                    text_out.append("".join([*parts, machine.feed(b"", last=True)]))
-            columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    text_out.append(decoded)
+            columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), pa.array(same, pa.bool_())]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
             if with_ids:
                 columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(text_out, pa.string())]
                 names += ["ids", "decoded"]
@@ -364,7 +555,7 @@ def encode_documents(
 
 
 def _tools(shared) -> tuple[Encoder, Decoder]:
-    """The worker's encoder and decoder; kept over tasks, as the table of states is worth keeping."""
+    """The worker's encoder and decoder; kept over tasks, as their tables are worth keeping."""
 
     def make() -> tuple[Encoder, Decoder]:
         merges = Merges(shared.value)

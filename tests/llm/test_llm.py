@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import io
 import wave
 
@@ -88,11 +89,17 @@ def test_bpe_is_as_tiktoken(encoder, reference, text):
     assert encoder.encode(text).tolist() == reference.encode_ordinary(text)
 
 
+def test_bpe_of_long_pieces_is_as_tiktoken(encoder, reference):
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(letters, k=n)) for letters in ("ab", "the", "éaö", "=-", "日本語", " \n", "012", "a'st ") for n in (63, 64, 65, 128, 700, 5_000)]
+    assert [ids.tolist() for ids in encoder.encode_all(texts)] == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_documents_round_trip(spark, encoder, reference):
-    out = by_id(bpe.encode_documents(table(spark, [*ODD, "a" * 3_000]), queries.rank_path(), with_ids=True), "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
+    out = by_id(bpe.encode_documents(table(spark, [*ODD, "a" * 3_000]), queries.rank_path(), with_ids=True), "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "ids", "decoded")
     for i, t in enumerate([*ODD, "a" * 3_000]):
         ids = reference.encode_ordinary(t or "")
-        assert out[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), ids, t or "")
+        assert out[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), True, ids, t or "")
     assert bpe.encode_documents(table(spark, []), queries.rank_path()).count() == 0
 
 
