@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -21,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the one the session names in ``spark.checkpoint.dir``.
 
-    Only where none is named (tests, notebooks on one machine) a temporary folder is made.
+    Only where driver and tasks are one process (tests, notebooks) and none is named, a temporary folder is made;
+    on a cluster without one RuntimeError is raised, since executors don't share the driver's folders.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -83,12 +87,30 @@ def row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 
 def keep_rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that ``named`` (id, key, row) names, each once; ids are compared null-safe."""
-    id_, key, row = (c.alias(f"_{name}") for c, name in zip(row_key(docs, id_col, text_col), ("id", "key", "row"), strict=True))
-    named = named.select(F.col("id").alias("_id_"), F.col("key").alias("_key_"), F.col("row").alias("_row_"))
-    rows = docs.select("*", id_, key, row)
-    rows = rows.join(named, F.col("_id").eqNullSafe(F.col("_id_")) & (F.col("_key") == F.col("_key_")) & (F.col("_row") == F.col("_row_")), "left_semi")
-    return rows.dropDuplicates(["_id", "_key", "_row"]).drop("_id", "_key", "_row")
+    """The rows of ``docs`` that ``named`` (id, key, row) names, each once.
+
+    ``row`` covers the id and ``key`` the text once more, so the two of them name a row; one exchange serves the join and the
+    choice among equal rows.
+    """
+    key, row = fresh(docs, "key"), fresh(docs, "row")
+    _, own_key, own_row = row_key(docs, id_col, text_col)
+    rows = docs.select("*", own_key.alias(key), own_row.alias(row))
+    rows = rows.join(named.select(F.col("key").alias(key), F.col("row").alias(row)), [key, row], "left_semi")
+    return rows.dropDuplicates([key, row]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(docs: DataFrame, names: list[str]) -> tuple[list[Column], list[str]]:
+    """Columns of ``docs`` under names that no operator gives a result, and those names."""
+    aliases = [f"_col_{i}" for i in range(len(names))]
+    return [docs[f"`{c}`"].alias(a) for c, a in zip(names, aliases, strict=True)], aliases
 
 
 def parse_schema(ddl: str):

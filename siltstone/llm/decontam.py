@@ -100,5 +100,5 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stretch: int = 20, agree: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows that share an id, null too, are told apart by their texts."""
     judged = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, stretch, agree)
-    bad = judged.where("ok").select(F.col("id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
-    return docs.join(bad, docs[id_col].cast("bigint").eqNullSafe(F.col("_bad_id")) & (content_key(docs[text_col]) == F.col("_bad_key")), "left_anti")
+    bad = judged.where("ok").select("id", "key").distinct()
+    return docs.join(bad, docs[id_col].cast("bigint").eqNullSafe(bad["id"]) & (content_key(docs[text_col]) == bad["key"]), "left_anti")

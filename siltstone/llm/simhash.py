@@ -54,12 +54,30 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=False)], np.uint64)
+    return majority(hashes)
+
+
+def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs a[i], b[i] differ in at most ``radius`` bits.
+
+    Pairs whose distances to a pivot differ by more are discarded, pivot by pivot; the bits of the others are compared.
+    """
+    left = np.arange(len(a))
+    for p in pivots():
+        here = np.bitwise_count(a[left] ^ p).astype(np.int16) - np.bitwise_count(b[left] ^ p).astype(np.int16)
+        left = left[np.abs(here) <= radius]
+    out = np.zeros(len(a), bool)
+    out[left[np.bitwise_count(a[left] ^ b[left]) <= radius]] = True
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(hashes))
-    return int.from_bytes(bits.tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, keyed: bool = False) -> DataFrame:

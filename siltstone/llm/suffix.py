@@ -10,12 +10,14 @@ repeat:
    stretches of an anchor whose rank is unique are done.
 2. Whole stretches, all bytes of their windows at once: equal ones repeat in every window, and one of
    them stands for all in what follows.
-3. Single windows, only of stretches that share an anchor with a different stretch: ranks at 100 bytes,
-   and the pairs of those at offsets 0 and 100. The stretches of an anchor meet in one task, or, where they
-   are very many, their windows are dealt one by one by rank.
-
-Ranks are computed where the text is, as 64-bit (anchors, halves) and 128-bit names (stretches,
-windows); what decides a removal is a 128-bit name.
+3. Single windows, only of stretches that share an anchor with a different stretch. Spark deals and sorts the
+   stretches by anchor; there the windows' positions are ranked by their bytes at 1, 2, 4, ... 128, 200 bytes,
+   each round sorting the pairs of ranks at a growing offset, until a window is unique or past the threshold.
+   Where the stretches of an anchor are very many, their windows are dealt one by one by the ranks at 100
+   bytes and the pairs of those at offsets 0 and 100.
+
+Ranks of anchors and stretches are names computed where the text is, of 64 and 128 bits. An anchor's name only
+selects; a removal is decided by the bytes, or by 128 bits of equal stretches and of windows dealt one by one.
 """
 
 from __future__ import annotations
@@ -75,6 +77,43 @@ def _pow(base: np.uint64, n: int) -> np.uint64:
     return np.uint64(pow(int(base), n, 1 << 64))
 
 
+def rerank(pairs: np.ndarray) -> np.ndarray:
+    """Sorts 64-bit pairs; the rank of each is how many different ones are smaller."""
+    order = np.argsort(pairs)
+    sorted_ = pairs[order]
+    out = np.empty(len(pairs), np.int64)
+    out[order] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]]) if len(pairs) else []
+    return out
+
+
+def repeated_windows(data: np.ndarray, at: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows data[at : at + length] are equal to another one, by prefix doubling on the bytes themselves.
+
+    A window of weight 2 counts as two. Positions are ranked by their first byte, then by 2, 4, 8, ... bytes: the
+    pairs (rank here, rank as far ahead) are sorted and ranked again. After each round windows of a unique rank are
+    done; after the round that reaches ``length`` those that are left repeat. No hash takes part.
+    """
+    live = np.arange(len(at))
+    rank, have = data.astype(np.int64), 1
+    while len(live):
+        times = np.bincount(rank[at[live]], weight[live], minlength=int(rank.max(initial=0)) + 1)
+        live = live[times[rank[at[live]]] > 1]
+        if have == length:
+            break
+        step = min(have, length - have)
+        # only what live windows reach is ranked further
+        reach = np.zeros(len(data) + 1, np.int32)
+        np.add.at(reach, at[live], 1)
+        np.add.at(reach, at[live] + length - have - step + 1, -1)
+        (use,) = np.nonzero(np.cumsum(reach)[: len(data)] > 0)
+        now = np.zeros(len(data), np.int64)
+        now[use] = rerank(rank[use] << 32 | rank[use + step]) if len(use) else 0
+        rank, have = now, have + step
+    out = np.zeros(len(at), bool)
+    out[live] = True
+    return out
+
+
 class Part:
     """Some texts end to end, and the stretches of windows that share an anchor."""
 
@@ -194,8 +233,6 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     many = mixed.where("big").limit(1).count() > 0
     if many:
         cuts = stored(cuts)
-    half = length // 2
-
     def joined(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The strings end to end; for each window its string and where in it it starts."""
         sizes = np.fromiter(map(len, data), np.int64, len(data))
@@ -204,25 +241,11 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.frombuffer(b"".join(data), np.uint8), own, inner + np.repeat(np.cumsum(sizes) - sizes, n)
 
-    def twice_or_more(*rank: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Sorts the windows by rank: which of them have a rank of total weight over 1."""
-        order = np.lexsort(rank)
-        new = np.r_[True, np.any([r[order][1:] != r[order][:-1] for r in rank], axis=0)] if len(order) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        out = np.zeros(len(order), bool)
-        out[order] = np.bincount(group, weight[order])[group] > 1 if len(order) else []
-        return out
-
     def settle(held: list[tuple]) -> pa.RecordBatch:
         k1, k2, start, done, data = zip(*held, strict=True)
         k1, k2, start, done = np.array(k1, np.int64), np.array(k2, np.int64), np.array(start, np.int64), np.array(done, bool)
         raw, own, at = joined(list(data))
-        weight = 1 + done[own]
-        first = ranks(raw, half)
-        live = twice_or_more(first[at], weight=weight)  # a half that is unique isn't in any repeated window
-        own, at, weight = own[live], at[live], weight[live]
-        second = ranks(raw, length, 1)
-        live = twice_or_more(first[at], first[at + length - half], second[at], weight=weight) & ~done[own]
+        live = repeated_windows(raw, at, 1 + done[own], length) & ~done[own]
         own, at = own[live], at[live]
         begin = np.cumsum(np.fromiter(map(len, data), np.int64, len(data))) - np.fromiter(map(len, data), np.int64, len(data))
         where = start[own] + at - begin[own]
@@ -288,7 +311,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     results; a null id is an id like any other.
     """
     rows = _rows(docs, id_col, text_col, [])
-    spans = repeated_ranges(rows, length).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
+    spans = repeated_ranges(rows, length).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
     joined = rows.join(spans, ["k1", "k2"], "left").select("k1", "text", "spans.first", "spans.stop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

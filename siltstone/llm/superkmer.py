@@ -33,6 +33,8 @@ RUN = 6
 #: Bytes of text that a map task handles at once, and windows that a bucket sorts at once.
 BLOCK = 4_000_000
 SORTED_AT_ONCE = 150_000
+#: Windows of a string at most; longer runs that share a minimiser travel as several strings.
+LONGEST = 2_000
 #: Minimisers of more strings than this have their windows dealt one by one.
 HOT = 20_000
 _P, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -89,6 +91,11 @@ class Block:
         after = np.searchsorted(stops, self.start, "right")
         ends = np.append(stops, len(least))[after]
         self.n, self.minimiser = ends - self.start, least[self.start]
+        if len(self.n) and self.n.max() > LONGEST:  # a run of one word would be a single string
+            parts = -(-self.n // LONGEST)
+            step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            n = np.repeat(self.n, parts) - step * LONGEST
+            self.start, self.n, self.minimiser = np.repeat(self.start, parts) + step * LONGEST, np.minimum(n, LONGEST), np.repeat(self.minimiser, parts)
         if len(self.start):
             # only a string that holds its minimiser twice can hold a window twice
             length = self.n + k - m
@@ -214,8 +221,9 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = RUN) -> DataFrame
     every = stored(docs.select("k1", "k2", "text").mapInArrow(find, "k1 bigint, k2 bigint, start bigint, n bigint, minimiser bigint, twice boolean"))
     known = every.groupBy("minimiser").agg(F.count(F.lit(1)).alias("m"), F.max("twice").alias("t")).where("m > 1 or t")
     known = known.select("minimiser", (F.col("m") > HOT).alias("hot"))
-    lists = every.join(known, "minimiser").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "minimiser", "twice", "hot")).alias("l"))
+    lists = every.join(known, "minimiser").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n", "minimiser", "twice", "hot")).alias("l"))
     names = ["l.start", "l.n", "l.minimiser", "l.twice", "l.hot"]
+    # equal rows name equal strings, so a set of them is as large as the text allows, however often the row repeats
     # all columns of docs are read, so that the texts are dealt in the same way as for the join that follows
     given = docs.join(lists, ["k1", "k2"]).select("k1", "k2", "text", *names, *docs.columns[3:])
 
@@ -336,7 +344,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         *[docs[c].alias(f"_kept_{i}") for i, c in enumerate(keep)],
     )
     ranges = repeated_ranges(rows, k, m)
-    spans = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
+    spans = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
     joined = rows.join(spans, ["k1", "k2"], "left").select("k1", "text", "spans.first", "spans.stop", *rows.columns[3:])
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
     schema = "k1 bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string" + extra
