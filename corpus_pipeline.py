@@ -8,32 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, decontam, langid, nearcopies, superkmer
-from siltstone.llm._common import checkpoint_dir, table
+from siltstone.llm._common import checkpoint_dir, numbered, table
 from siltstone.llm.queries import rank_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: null, or without any letter. All others stay as they are."""
+    """Drops documents of no language: null, or without any letter. The others' missing ``lang`` becomes the predicted one.
+
+    Where no document has a ``lang`` there is nothing to learn from, and it stays missing.
+    """
     model = langid.train(docs)
-    found = langid.identify(docs, model, keep=[c for c in docs.columns if c != "doc_id"])
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    if model is None:
+        return docs.where(langid.has_letter(docs["text"]))
+    columns, names = numbered(docs, docs.columns)
+    found = langid.identify(docs.select(docs["doc_id"], docs["text"], *columns), model, keep=names).where(F.col("lang_pred") != langid.UNDETERMINED)
+    own = dict(zip(docs.columns, names, strict=True))
+    return found.select(*[F.coalesce(own[c], "lang_pred").alias(c) if c == "lang" else F.col(own[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps a document of each group of near copies (five-word shingles, similarity 0.8): the smallest id, rows without one last."""
-    return nearcopies.one_of_each(docs).select(*docs.columns)
+    """Keeps a document of each group of near copies (SimHash of five-word shingles, verified similarity 0.8): the smallest id, rows without one last."""
+    return nearcopies.one_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes the words of repeated passages out of the texts; ``n_chars`` follows. No document goes, even if all of its words do."""
-    kept = superkmer.remove_repeats(docs, with_text=True, keep=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
-    text = F.col("kept_text").alias("text")
-    return kept.select(*[text if c == "text" else F.length("kept_text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    columns, names = numbered(docs, others)
+    kept = superkmer.remove_repeats(docs.select(docs["doc_id"], docs["text"], *columns), with_text=True, keep=names)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    own |= {c: F.col(name) for c, name in zip(others, names, strict=True)}
+    return kept.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item or a stretch of one."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
