@@ -11,13 +11,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siltstone.llm._common import slices
+
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td "
@@ -29,11 +31,29 @@ _BOILER = frozenset("nav footer aside form menu dialog".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _MAIN = frozenset("article main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of class names and ids that speak of something beside the text, and parts that say nothing of it. A name counts
+#: if all of its parts are of these two kinds and one is of the first: "site-header" does, "share-price" doesn't.
 _HINT = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|newsletter|subscri\w*|popup|modal|overlay|"
-    r"sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|related|recommend\w*|share|sharing|social|"
-    r"comments?|commentlist|disqus|respond|replies|widget|toolbar|pagination|pager|login|signup|search|skip|alert)(?![a-z])"
+    r"ads?|adsense|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|newsletter|subscri\w*|popup|modal|overlay|"
+    r"sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|related|recommend\w*|share|sharing|social|"
+    r"comments?|commentlist|disqus|respond|replies|widget|toolbar|pagination|pager|login|signup|search|skip|alert"
+)
+_PLAIN = re.compile(
+    r"side|site|page|main|top|bottom|left|right|box|block|wrapper|wrap|container|list|items?|links?|bar|area|section|inner|outer|global|primary|"
+    r"secondary|sub|btn|buttons?|icons?|form|posts|articles|stories|slot|unit|zone|panel|module|head|foot|row|col|column|"
+    r"small|large|mobile|desktop|sticky|fixed|js|is|has|the|to|us|by|of|in|on|[0-9a-f]*\d[0-9a-f]*|[a-z]"
 )
+_PARTS = re.compile(r"[a-z]+|\d+|[^\W\d_]+")
+
+
+@lru_cache(10_000)
+def _aside(name: str) -> bool:
+    """Whether a class name or id speaks of a menu, an advert or the like."""
+    parts = _PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+    hints = [bool(_HINT.fullmatch(p)) for p in parts]
+    return any(hints) and all(h or _PLAIN.fullmatch(p) for h, p in zip(hints, parts, strict=True))
+
+
 #: An element that only these close when it is left open.
 _ENDS_P = _BLOCK - {"option", "caption"}
 
@@ -89,7 +109,9 @@ class _Blocks(HTMLParser):
         if tag == "header" and not self.counts["main"]:
             boiler = True
         if not boiler and tag not in _MAIN and tag not in ("html", "body") and ("class" in a or "id" in a):
-            boiler = bool(_HINT.search(f"{a.get('class', '')} {a.get('id', '')}".lower().replace("_", "-")))
+            boiler = any(map(_aside, f"{a.get('class', '')} {a.get('id', '')}".split()))
+            if tag == "header" and self.counts["main"] and not self.counts["boiler"]:
+                boiler = False  # an article's own header holds its title
         silent = tag in _SILENT
         self.open.append((tag, boiler, silent))
         self._count(tag, boiler, silent, 1)
@@ -233,7 +255,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     read one by one; nulls in other columns stay. Rows never leave their partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -76,5 +76,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_byte_bpe, op4_html_text, op5_chroma, op6_superkmer_dedup, op7_spaced_seeds, op8_toxicity, op9_license_scan, op10_simhash)}
 
 
+#: Every alignment of a document and an item with enough equal words, found by joining the words themselves.
+_OP7_SQL = """
+WITH d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place
+           FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)),
+i AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place
+      FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 5),
+m AS (SELECT doc_id, item_id, n, d.place - i.place AS shift, count(*) AS matched, list(i.place) AS hit
+      FROM d JOIN i USING (word) GROUP BY ALL HAVING count(*) >= ceil(least(20, n) * 0.8)),
+ok AS (SELECT * FROM m WHERE (n >= 9 OR matched = n) AND
+       list_max(list_transform(range(0, n - least(20, n) + 1), s -> len(list_filter(hit, p -> p >= s AND p < s + least(20, n))))) >= ceil(least(20, n) * 0.8))
+SELECT doc_id, item_id, n AS n_overlap, matched AS n_matched, shift AS doc_word FROM ok
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, shift) = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_spaced_seeds": _OP7_SQL}

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm._common import slices
+
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñóíáú"
 #: Characters of the model: 0 is the border of a word, the last any other letter.
 A = len(_LETTERS) + 2
@@ -34,8 +36,9 @@ READINGS = {
 }
 _SWAP, _DROP, _SPLIT = 1.5, 0.7, 4.0
 _MARKS = re.escape("".join(READINGS))
-_LEET = re.compile(rf"[a-zа-я][{_MARKS}]+[a-zа-я]|(?<![^\s\"'(\[])[{_MARKS}]{{1,2}}[a-z]+|[a-z]{{2}}[{_MARKS}](?![^\s.,;:!?\"')\]])|([a-z])\1\1")
-_SPACED = re.compile(rf"(?<![^\s\"'(\[])(?:[a-z{_MARKS}][ .\-_~]){{3,80}}[a-z{_MARKS}](?![^\s.,;:!?\"')\]])")
+_LEET = re.compile(rf"[a-zа-я][{_MARKS}]+[a-zа-я]|(?<![^\s\"'(\[])[{_MARKS}]{{1,2}}[a-z]+|[a-z]{{2}}[{_MARKS}](?![^\s.,;:!?\"')\]])|([^\W\d_])\1\1")
+_LONE = rf"(?:[^\W\d_]|[{_MARKS}])"
+_SPACED = re.compile(rf"(?<![^\s\"'(\[]){_LONE}(?:[ .\-_~]{{1,3}}{_LONE}){{2,}}(?![^\s.,;:!?\"')\]])")
 _RUN = re.compile(r"(.)\1+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of longer words that are features too, written with a star.
@@ -107,7 +110,7 @@ class Model:
                     if spaced and path is not None:
                         brk = (context * size) % size**3
                         put(((brk * size + x) % size**3, x), so_far + swap + _SPLIT + cost[context * size] + cost[brk * size + x], (r, (" ", path)))
-            states = dict(sorted(nxt.items(), key=lambda s: s[1][0])[:40])
+            states = nxt  # all of them: no more than the readings of three characters allow
         _, path = min(((v + cost[context * size], p) for (context, _), (v, p) in states.items()), key=lambda x: x[0])
         out: list[str] = []
         while path is not None:
@@ -127,11 +130,10 @@ class Model:
         for hit in _LEET.finditer(low):
             if hit.start() < end:
                 continue
-            start = hit.start()
-            while start > 0 and not low[start - 1].isspace() and hit.start() - start < 60:
+            start, end = hit.span()
+            while start > 0 and not low[start - 1].isspace():
                 start -= 1
-            end = hit.end()
-            while end < len(low) and not low[end].isspace() and end - hit.end() < 60:
+            while end < len(low) and not low[end].isspace():
                 end += 1
             token = low[start:end].strip(".,;:?\"')]")
             found.append(self.decode(token))
@@ -184,8 +186,10 @@ def gather(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def _features(words: Column) -> Column:
-    starts = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in BEGINNINGS]
-    return F.array_distinct(F.concat(words, *starts))
+    def starts(n: int) -> Column:  # a function of its own, since a lambda with two parameters would be given the index
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    return F.array_distinct(F.concat(words, *map(starts, BEGINNINGS)))
 
 
 def train(docs: DataFrame, labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", max_docs: int = 20_000, max_words: int = 1_000) -> Model:
@@ -216,13 +220,29 @@ def train(docs: DataFrame, labelled: DataFrame, text_col: str = "text", label_co
     base = one / every
     stats = stats.withColumn("z", (F.col("a") - F.col("m") * base) / F.sqrt(F.col("m") * base * (1 - base)))
     stats = stats.where((F.col("z") > 6) & (F.col("a") / F.col("m") > 0.5))
-    lexicon = [r["w"] for r in stats.orderBy(F.desc("z"), "w").limit(max_words).select("w").collect()]
+    ranked = stats.orderBy(F.desc("z"), "w").limit(max_words).select("w", (F.col("a") / F.col("m")).alias("share")).collect()
+    lexicon = general({r["w"]: r["share"] for r in ranked})
     hits = F.array_sort(F.array_intersect(_features(F.col("words")), F.array(*[F.lit(w) for w in lexicon]).cast("array<string>")))
     kinds = held.select("y", hits.alias("hits")).groupBy("y", "hits").agg(F.count(F.lit(1)).alias("n")).toPandas()
     weights, bias = fit(lexicon, kinds["hits"].tolist(), kinds["y"].to_numpy(float), kinds["n"].to_numpy(float), base)
     return Model(language_model(counts), weights, bias)
 
 
+def general(share: dict[str, float]) -> list[str]:
+    """The features without those that a shorter beginning covers: one of at least nearly the same share of label 1.
+
+    The beginning holds wherever the longer feature does; side by side the two would share one weight, and a form that
+    no labelled row holds would get half of it.
+    """
+    out = []
+    for w, own in share.items():
+        stem = w.rstrip("*")
+        covers = (f"{stem[:n]}*" for n in BEGINNINGS if n < len(stem))
+        if not any(c in share and share[c] >= 0.98 * own for c in covers):
+            out.append(w)
+    return out
+
+
 def fit(lexicon: list[str], hits: list, y: np.ndarray, n_rows: np.ndarray, base: float, ridge: float = 0.03, steps: int = 1_500) -> tuple[dict[str, float], float]:
     """Logistic regression with a ridge over sets of features, by accelerated gradient steps.
 
@@ -258,7 +278,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.score(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([h for _, h in found], pa.list_(pa.string()))],

@@ -4,10 +4,12 @@ import base64
 import hashlib
 import random
 import io
+import math
 import wave
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,7 +142,7 @@ def test_chroma_aligns_recordings(spark):
     late = np.concatenate([np.zeros(hop * 10), tune])
     data = [(50, wav(tune)), (1, wav(late + rng.normal(0, 30, len(late)))), (2, wav(other)), (3, wav(tune)), (4, None), (5, b""), (6, b"junk"), (100, wav(np.zeros(50_000)))]
     rows = spark.createDataFrame(data, "doc_id bigint, audio binary")
-    out = chroma.align(chroma.fingerprints(rows, "doc_id", "audio"), F.col("id") % 50 == 0, min_overlap=40).collect()
+    out = chroma.align(chroma.fingerprints(rows, "doc_id", "audio"), F.col("id") % 50 == 0).collect()
     assert {r["id"] for r in out} == {i for i, _ in data}
     assert {r["id"]: r["class_id"] for r in out if r["id"] in (3, 50)} == {3: 3, 50: 3}
     assert {(r["id"], r["match_class"], r["offset"]) for r in out if r["match_class"] is not None} == {(3, 1, -10)}
@@ -154,7 +156,7 @@ def test_chroma_recall_against_every_offset(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, v array<double>")
     got = {(r["id"], r["match_class"]) for r in chroma.align(chroma.fingerprints(rows, "id", "v", chroma.melody), F.lit(True)).collect() if r["match_class"] is not None}
     prints = [chroma.fingerprint(*chroma.melody(v.tolist())) for v in vectors]
-    want = {(a, b) for a in range(60) for b in range(60) if a != b and any(n >= 56 and e <= 0.1 for n, e in (chroma.bit_error(prints[a], prints[b], o) for o in range(-56, 57)))}
+    want = {(a, b) for a in range(60) for b in range(60) if a != b and any(n >= 56 and e <= 0.15 for n, e in (chroma.bit_error(prints[a], prints[b], o) for o in range(-56, 57)))}
     assert want and len(want & got) >= 0.9 * len(want) and got <= want
 
 
@@ -170,6 +172,39 @@ def test_decontamination(spark):
     assert decontam.contaminated(table(spark, []), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def brute_alignments(text, item, stretch=20, agree=0.8):
+    """Matched words and shift of the best alignment that counts, or None."""
+    own, words = [regex.findall(r"[\p{L}\p{N}]+", (t or "").lower()) for t in (text, item)]
+    n, best = len(words), None
+    if n < decontam.LEAST:
+        return None
+    for shift in range(-n + 1, len(own)):
+        same = [0 <= shift + i < len(own) and own[shift + i] == w for i, w in enumerate(words)]
+        width = min(stretch, n)
+        if (n >= decontam.SPAN or all(same)) and max(sum(same[s : s + width]) for s in range(n - width + 1)) >= math.ceil(width * agree):
+            best = max(best or (-1, 0), (sum(same), -shift))
+    return best
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_decontamination_of_items_of_any_length(spark, monkeypatch, limit):
+    """Against every alignment, with the seeds broadcast and with all joins shuffled."""
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_SEEDS", limit)
+    draw = random.Random(9)
+    items = [" ".join(f"q{n}x{i}" for i in range(n)) for n in (3, 5, 8, 9, 10, 11, 12, 14, 20, 33)]
+    texts = [None, ""]
+    for item in items:
+        for wrong in range(5):
+            words = item.split()
+            for i in draw.sample(range(len(words)), min(wrong, len(words))):
+                words[i] = "other"
+            texts.append(" ".join(["lead", *words, "tail"]))
+        texts += [item, item[: len(item) // 2]]
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0])], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["n_matched"], -r["doc_word"]) for r in decontam.contaminated(table(spark, texts), bench).collect()}
+    assert found == {(i, k): best for i, t in enumerate(texts) for k, item in enumerate(items) if (best := brute_alignments(t, item))}
+
+
 def toxic_model(spark):
     rng = np.random.default_rng(5)
     plain = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
@@ -185,14 +220,13 @@ def toxic_model(spark):
 
 
 def test_toxicity(spark):
-    tests = ["wordaa grumble wordbc", "wordaa grumb1e worde", "say g r u m b l e now", "grummmble it", "wordaa wordbb", "", None]
+    tests = ["wordaa grumble wordbc", "wordaa grumb1e worde", "say g r u m b l e now", "grummmble it", "wordaa wordbb", "", None, "wordaa g r ü m p f l wordab"]
     out = by_id(toxicity.score(table(spark, tests), toxic_model(spark)), "score")
     assert [out[i][0] > 0.5 for i in range(7)] == [True] * 4 + [False] * 3 and out[5] == out[6]
     none = toxicity.train(table(spark, []), table(spark, []).withColumn("label", F.lit(1)))
     assert by_id(toxicity.score(table(spark, ODD), none), "score")[0] == (0.5,) and toxicity.score(table(spark, []), none).count() == 0
 
 
-@pytest.mark.xfail(reason="known weakness: with few labels a word's weight is split between its form and its beginning, so an unseen form stays under 0.5", strict=True)
 def test_toxicity_of_a_form_that_no_label_holds(spark):
     out = by_id(toxicity.score(table(spark, ["wordab snarfzzz"]), toxic_model(spark)), "score")
     assert out[0][0] > 0.5
@@ -205,6 +239,27 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+def test_licenses_side_by_side_and_at_cuts(spark):
+    mit, apache = licenses._MIT, licenses._APACHE
+    texts = [
+        "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", "either of Apache License, Version 2.0 or MIT license, at your option", "// SPDX-License-Identifier: MPL-2.0",
+        f"{licenses._ZLIB}\nDistributed under the Boost Software License, Version 1.0.", "word " * 80 + "Released under the MIT License." + " prose" * 100, "y " * 5_000 + mit + " z" * 5_000,
+        f"{mit}\n\n{apache}\n\n{licenses._ISC}", f"{mit} " * 20, f"{mit}\n{mit}",
+    ]
+    rows = licenses.scan(table(spark, texts)).orderBy("doc_id", "start").collect()
+    found = {i: [r["license"] for r in rows if r["doc_id"] == i] for i in range(len(texts))}
+    assert found == {0: ["MIT", "Apache-2.0"], 1: ["Apache-2.0", "MIT"], 2: ["MPL-2.0"], 3: ["Zlib", "BSL-1.0"], 4: ["MIT"], 5: ["MIT"], 6: ["MIT", "Apache-2.0", "ISC"], 7: ["MIT"] * 20, 8: ["MIT"] * 2}
+    assert {r["status"] for r in rows} == {"exact"} and [texts[5][r["start"] : r["start"] + r["n_chars"]] for r in rows if r["doc_id"] == 5] == [mit[:-1]]
+
+
+def test_html_names_of_several_parts():
+    page = (
+        "<body><header class='site-header'>Site</header><article><header class='entry-header'><h1>Title</h1></header><p class='share-price'>The price rose by a tenth in a day.</p>"
+        "<section id='search-for-life'><p>They looked for life on the moon.</p></section><div class='cookie_notice'>Accept</div><div class='related-posts'>More</div></article></body>"
+    )
+    assert htmlmain.main_text(page) == "Title\n\nThe price rose by a tenth in a day.\n\nThey looked for life on the moon."
+
+
 def fingerprint(text):
     words = (text or "").encode().lower().split()
     parts = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -287,6 +342,21 @@ def test_pivots_discard_no_link():
     assert {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset(x) for x in zip(centre.tolist(), near.tolist(), strict=True)}
 
 
+def test_pipeline_stages_without_labels_and_with_any_names(spark):
+    """No language to learn from, columns called like what operators make, repeated rows."""
+    import corpus_pipeline as P
+
+    names = ["score", "lang_pred", "runner_up", "ambiguous", "_id", "_kept_id", "_key", "_row", "k2", "kept_text", "n_words", "bucket", "node", "_bad_id", "ids", "best"]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, *names) for i, t in enumerate([PASSAGE, PASSAGE, "abc def", None, "12 34", f"y {PASSAGE}"])], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names))
+    labelled = docs.withColumn("lang", F.when(F.col("doc_id") == 0, "en"))
+    assert sorted(r["doc_id"] for r in P.language(spark, docs, DATA).collect()) == [0, 1, 2, 5]
+    assert {r["doc_id"]: r["lang"] for r in P.language(spark, labelled, DATA).collect()} == dict.fromkeys([0, 1, 2, 5], "en")
+    for name, stage in P.STAGES[:-1]:
+        for rows in (docs, labelled.unionByName(labelled)):
+            out = stage(spark, rows, DATA)
+            assert out.columns == docs.columns and {r["score"] for r in out.collect()} == {"score"}, name
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
