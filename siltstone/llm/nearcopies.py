@@ -1,14 +1,16 @@
 """SimHash near-dedup for a similarity of shingle sets: the form of operator 10 that the pipeline uses.
 
-Rows of equal shingle sets are one class, and each class has the SimHash fingerprint of its set. Sets of
-similarity 0.8 have fingerprints that differ in about 10 bits of 64, and in up to ``RADIUS`` with all but a chance of
-3e-6. That is too wide for buckets of agreeing fingerprint bits, so classes meet in buckets of min-hash
-bands instead: a pair of similarity 0.8 meets in none of the ``BANDS`` with probability 5e-8, one of 0.9 with 1e-15. In a
-bucket, pivot distance tables discard pairs (largest coordinate difference over ``RADIUS``), the survivors'
-fingerprints are compared, and what is within the radius is verified by exact Jaccard similarity.
-
-First every class of a bucket is tried against the smallest there, which is linear in the bucket; only
-pairs that the links found leave in different groups are then tried one by one.
+Rows of equal shingle sets are one class, and each class has a SimHash fingerprint of its set, of 512 bits since 64
+can't tell a similarity of 0.8 from one of 0.5. Sets of similarity 0.8 have fingerprints that differ in 78 bits on average,
+in more than ``RADIUS`` with a chance of 3e-7. That is too wide for buckets of agreeing fingerprint bits, so
+classes meet in buckets of min-hash bands instead: a pair of similarity 0.8 meets in none of the ``BANDS`` with
+probability 5e-8, one of 0.9 with 1e-15. Pairs that meet are discarded by size and by pivot distance tables (largest
+coordinate difference over the radius), the survivors' fingerprints are compared, and what is within the radius is
+verified by exact Jaccard similarity.
+
+Comparing all pairs of a bucket would be quadratic in a large group of copies. So first every class of a bucket is
+tried against its smallest, then against a few others drawn at random, in rounds; each is linear in the bucket, and a class
+that is near to many is linked by then. Only classes of a bucket that are still in different groups are tried pair by pair.
 """
 
 from __future__ import annotations
@@ -21,18 +23,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm import components, simhash
+from siltstone.llm import components
 from siltstone.llm._common import durable, held, keep_rows, row_key, shuffle_partitions, slices, stored
 
 SEED = 42
 BANDS, ROWS = 32, 4
-#: Fingerprints of sets of similarity 0.8 differ in 9.7 bits on average, with a deviation of 2.9 (3.1 for five shingles).
-RADIUS = 26
+#: Bits of 512 that fingerprints of sets of similarity 0.8 may differ in: 77.6 and five deviations of 8.1; sets of under SMALL
+#: shingles move by whole ties (96 and five deviations of 8.8).
+RADIUS, RADIUS_SMALL, SMALL = 118, 140, 40
+WORDS, N_PIVOTS = 8, 16
+#: Rounds in which the classes of a bucket are tried against HUBS of them.
+ROUNDS, HUBS = 2, 8
 _RNG = np.random.default_rng(20_113)
 _FLIP, _ODD = _RNG.integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _ODD |= np.uint64(1)
 _MIX, _BAND = _RNG.integers(0, 1 << 64, ROWS, dtype=np.uint64) | np.uint64(1), _RNG.integers(0, 1 << 64, BANDS, dtype=np.uint64)
+_SALT, _TIMES = _RNG.integers(0, 1 << 64, (2, WORDS), dtype=np.uint64)
+_TIMES |= np.uint64(1)
+_PIVOTS = _RNG.integers(0, 1 << 64, (N_PIVOTS, WORDS), dtype=np.uint64)
+_LANES = np.uint64(0x0101010101010101)
 _AT_ONCE = 4_096
+_F = [f"f{i}" for i in range(WORDS)]
 
 
 def shingles(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
@@ -62,18 +73,52 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return ((least.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64) ^ _BAND).view(np.int64)
 
 
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """512 bits of a set as 8 numbers: those set in over half of the hashes, each hashed again for every 64 of them."""
+    rows = -(-len(hashes) // 255)
+    counts = np.zeros((WORDS, 8, 8), np.int64)
+    for i in range(WORDS):
+        word = np.zeros(rows * 255, np.uint64)
+        word[: len(hashes)] = (hashes ^ _SALT[i]) * _TIMES[i]
+        word ^= word >> np.uint64(29)
+        word[len(hashes) :] = 0
+        for bit in range(8):  # eight sums of up to 255 side by side in each number
+            sums = (word >> np.uint64(bit) & _LANES).reshape(rows, 255).sum(1, dtype=np.uint64)
+            counts[i, :, bit] = sums.view(np.uint8).reshape(rows, 8).sum(0, dtype=np.int64)
+    return np.packbits(counts.ravel() * 2 > len(hashes)).view(np.uint64)
+
+
+def pivot_table(prints: np.ndarray) -> np.ndarray:
+    """A row for each fingerprint: its Hamming distances to the pivots."""
+    return np.stack([np.bitwise_count(prints ^ p).sum(1, dtype=np.int16) for p in _PIVOTS], 1)
+
+
+def near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, table_a: np.ndarray, table_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of fingerprints a[i], b[i] may be of sets of the similarity: by size, then by the tables, then by the bits."""
+    low, high = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    radius = np.where(low < SMALL, RADIUS_SMALL, RADIUS)
+    (left,) = np.nonzero(low >= similarity * high - 1e-9)
+    left = left[(np.abs(table_a[left] - table_b[left]) <= radius[left, None]).all(1)]
+    out = np.zeros(len(a), bool)
+    out[left[np.bitwise_count(a[left] ^ b[left]).sum(1, dtype=np.int64) <= radius[left]]] = True
+    return out
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("nearcopies")
         for batch in slices(batches):
             sets = [shingles(t, k) for t in batch.column(3).to_pylist()]
             found = np.concatenate([bands(s) for s in sets]) if sets else np.zeros(0, np.int64)
-            prints = np.array([simhash.majority(s) for s in sets], np.uint64)
+            prints = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(found))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([class_of(s) for s in sets], pa.int64()), pa.array(prints.view(np.int64)), lists], names=["id", "key", "row", "node", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(prints[:, i]) for i in range(WORDS)], lists],
+                names=["id", "key", "row", "node", "size", *_F, "bands"],
+            )
 
     rows = docs.select(*row_key(docs, id_col, text_col), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "id bigint, key bigint, row bigint, node bigint, fp bigint, bands array<bigint>")
+    return rows.mapInArrow(run, f"id bigint, key bigint, row bigint, node bigint, size bigint, {', '.join(f'{f} bigint' for f in _F)}, bands array<bigint>")
 
 
 def _sets(texts: DataFrame, text_col: str, k: int) -> DataFrame:
@@ -104,32 +149,65 @@ def _by_bucket(rows: DataFrame, make, schema: str) -> DataFrame:
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, schema)
 
 
-def _stars(bucket: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each class of a bucket with the smallest there, and whether the fingerprints let them be near copies."""
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _stars(bucket: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each class of a bucket with the smallest there."""
     first = np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)]
-    least = np.maximum.accumulate(np.where(first, np.arange(len(node)), 0)) if len(node) else np.zeros(0, int)
-    close = simhash.near(fp[least].view(np.uint64), fp.view(np.uint64), RADIUS)
-    columns = (bucket, node[least], node, fp[least], fp, close)
-    yield pa.RecordBatch.from_arrays([pa.array(c[~first]) for c in columns], names=["bucket", "a", "b", "fa", "fb", "close"])
-
-
-def _apart(bucket: np.ndarray, node: np.ndarray, fp: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket in different groups whose fingerprints are near, but for those with its smallest class, which are known."""
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
-    a, b, size = [], [], 0
-    for start, stop in zip(edges[:-1], edges[1:], strict=True):
-        for i in range(start + 1, stop - 1):
-            (j,) = np.nonzero(group[i + 1 : stop] != group[i])
-            j += i + 1
-            other = node[j[simhash.near(np.full(len(j), fp[i]).view(np.uint64), fp[j].view(np.uint64), RADIUS)]]
-            a.append(np.full(len(other), node[i]))
-            b.append(other)
-            size += len(other)
-            if size > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                a, b, size = [], [], 0
-    none = np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
+    least = node[np.maximum.accumulate(np.where(first, np.arange(len(node)), 0))] if len(node) else node
+    yield pa.RecordBatch.from_arrays([pa.array(c[~first]) for c in (bucket, least, node)], names=["bucket", "a", "b"])
+
+
+def _hubs(seed: int):
+    """Each class of a bucket with ``HUBS`` drawn ones of other groups."""
+
+    def make(bucket: np.ndarray, node: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        drawn = (node.view(np.uint64) ^ _PIVOTS[seed, 0]) * _TIMES[0]
+        order = np.lexsort((drawn, bucket))
+        bucket, node, group = bucket[order], node[order], group[order]
+        start = np.maximum.accumulate(np.where(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)], np.arange(len(node)), 0)) if len(node) else np.zeros(0, int)
+        for k in range(HUBS):
+            hub = np.minimum(start + k, len(node) - 1)
+            use = np.flatnonzero((bucket[hub] == bucket) & (group[hub] != group))
+            yield _pairs(node[hub[use]], node[use])
+
+    return make
+
+
+def _apart(similarity: float):
+    """Pairs of a bucket in different groups that may be near copies."""
+
+    def make(bucket: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        prints = np.stack(words, 1).view(np.uint64) if len(node) else np.zeros((0, WORDS), np.uint64)
+        table = pivot_table(prints)
+        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            for i in range(start, stop - 1):
+                (j,) = np.nonzero(group[i + 1 : stop] != group[i])
+                j += i + 1
+                one = np.full(len(j), i)
+                found = j[near(prints[one], prints[j], size[one], size[j], table[one], table[j], similarity)]
+                if len(found):
+                    yield _pairs(np.full(len(found), node[i]), node[found])
+
+    return make
+
+
+def _sifted(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that size, tables and fingerprints leave."""
+    left, right = (prints.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", *_F)]) for c in "ab")
+    both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "a_size", "b_size", *[f"a_{f}" for f in _F], *[f"b_{f}" for f in _F])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, *words = (c.to_numpy() for c in batch.columns)
+            fa, fb = (np.stack(w, 1).view(np.uint64) for w in (words[:WORDS], words[WORDS:]))
+            ok = near(fa, fb, na, nb, pivot_table(fa), pivot_table(fb), similarity)
+            yield _pairs(a[ok], b[ok])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -149,19 +227,27 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("the bands find pairs of similarity 0.8 and more")
     sketches = stored(_sketches(docs, id_col, text_col, words_per_shingle))
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "row")).alias("best")
-    classes = stored(sketches.groupBy("node").agg(best, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    dealt = classes.select(F.explode("bands").alias("bucket"), "node", "fp")
-    star = stored(_by_bucket(dealt, _stars, "bucket bigint, a bigint, b bigint, fa bigint, fb bigint, close boolean"))
+    classes = stored(sketches.groupBy("node").agg(best, *[F.first(c).alias(c) for c in ("size", *_F, "bands")]))
+    prints = classes.select("node", "size", *_F)
+    dealt = classes.select(F.explode("bands").alias("bucket"), "node")
+    star = stored(_by_bucket(dealt, _stars, "bucket bigint, a bigint, b bigint"))
     met = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = keep_rows(docs, classes.join(met, "node", "left_semi").select("best.*"), id_col, text_col)
     sets = stored(_sets(texts, text_col, words_per_shingle))
-
-    links = durable(_confirmed(star.where("close").select("a", "b"), sets, similarity))
+    member = stored(star.select("bucket", F.col("b").alias("node")).unionByName(star.select("bucket", F.col("a").alias("node")).distinct()))
+
+    links = durable(_confirmed(_sifted(star.select("a", "b"), prints, similarity), sets, similarity))
+    for step in range(ROUNDS + 1):
+        label = components.connect(links)
+        grouped = durable(member.join(label, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("group")))
+        mixed = grouped.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("bucket")
+        rest = grouped.join(mixed, "bucket", "left_semi").select("bucket", "node", "group")
+        if step < ROUNDS:
+            pairs = _sifted(_by_bucket(rest, _hubs(step), "a bigint, b bigint"), prints, similarity)
+        else:
+            rest = rest.join(prints, "node").select("bucket", "node", "group", "size", *_F)
+            pairs = _by_bucket(rest, _apart(similarity), "a bigint, b bigint")
+        links = durable(links.unionByName(_confirmed(pairs, sets, similarity)))
     label = components.connect(links)
-    member = star.select("bucket", F.col("b").alias("node"), F.col("fb").alias("fp")).unionByName(star.select("bucket", F.col("a").alias("node"), F.col("fa").alias("fp")).distinct())
-    member = durable(member.join(label, "node", "left").select("bucket", "node", "fp", F.coalesce("root", "node").alias("group")))
-    mixed = member.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("bucket")
-    rest = _by_bucket(member.join(mixed, "bucket", "left_semi").select("bucket", "node", "fp", "group"), _apart, "a bigint, b bigint")
-    label = components.connect(links.unionByName(_confirmed(rest, sets, similarity)))
     grouped = classes.join(label, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     return keep_rows(docs, grouped.groupBy("root").agg(F.min("best").alias("best")).select("best.*"), id_col, text_col)

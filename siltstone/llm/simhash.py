@@ -57,20 +57,6 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return majority(hashes)
 
 
-def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which pairs a[i], b[i] differ in at most ``radius`` bits.
-
-    Pairs whose distances to a pivot differ by more are discarded, pivot by pivot; the bits of the others are compared.
-    """
-    left = np.arange(len(a))
-    for p in pivots():
-        here = np.bitwise_count(a[left] ^ p).astype(np.int16) - np.bitwise_count(b[left] ^ p).astype(np.int16)
-        left = left[np.abs(here) <= radius]
-    out = np.zeros(len(a), bool)
-    out[left[np.bitwise_count(a[left] ^ b[left]) <= radius]] = True
-    return out
-
-
 def majority(hashes: np.ndarray) -> int:
     """The bits set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
