@@ -85,7 +85,7 @@ i AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1)
 m AS (SELECT doc_id, item_id, n, d.place - i.place AS shift, count(*) AS matched, list(i.place) AS hit
       FROM d JOIN i USING (word) GROUP BY ALL HAVING count(*) >= ceil(least(20, n) * 0.8)),
 ok AS (SELECT * FROM m WHERE (n >= 9 OR matched = n) AND
-       list_max(list_transform(range(0, n - least(20, n) + 1), s -> len(list_filter(hit, p -> p >= s AND p < s + least(20, n))))) >= ceil(least(20, n) * 0.8))
+       list_max(list_transform(range(0, n - least(20, n) + 1), lambda s: len(list_filter(hit, lambda p: p >= s AND p < s + least(20, n))))) >= ceil(least(20, n) * 0.8))
 SELECT doc_id, item_id, n AS n_overlap, matched AS n_matched, shift AS doc_word FROM ok
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, shift) = 1
 """
