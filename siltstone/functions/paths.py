@@ -20,7 +20,7 @@ IGNORED = (
     ".pytest_cache .tox coverage .cache __snapshots__ .env .env.* *.env *.pem *.key *.pfx *.p12 *.p8 *.ppk *.jks *.keystore *.crt *.cer *.der "
     ".ssh .gnupg id_rsa id_ecdsa id_ed25519 id_dsa *_rsa *_ecdsa *_ed25519 .aws .azure .gcloud serviceAccountKey.json *service_account*.json "
     "*credentials*.json .npmrc .pypirc .netrc .htpasswd *.token *.password credentials credentials.* secrets secrets.* .vscode .idea .vs "
-    "*.swp *.swo *~ .project .settings .DS_Store Thumbs.db desktop.ini *.pyc *.pyo *.class *.o *.obj *.so *.dll *.dylib *.min.js *.min.css *.log logs"
+    "*.swp *.swo *~ .project .settings .DS_Store Thumbs.db desktop.ini *.pyc *.pyo *.class *.o *.obj *.so *.dll *.dylib *.min.js *.min.css *.log logs *.db *.sqlite *.sqlite3 *.bak *.backup *.tmp"
 ).split()
 # Names that no file may have.
 RESERVED = "con prn aux nul com1 com2 com3 com4 com5 com6 com7 com8 com9 lpt1 lpt2 lpt3 lpt4 lpt5 lpt6 lpt7 lpt8 lpt9".split()
@@ -140,6 +140,18 @@ def project_of_url(url: Column) -> Column:
     return F.when(F.length(name) < 3, F.rpad(name, 3, "_")).otherwise(name)
 
 
+def contained(path: Column, root: Column | str) -> Column:
+    """Whether a path stays below ``root`` once its ``.`` and ``..`` parts are followed; null bytes and going above the root are refused."""
+    p = F.regexp_replace(path, r"\\", "/")
+    r = F.split(F.rtrim(F.lit(root) if isinstance(root, str) else root, F.lit("/")), "/")
+    full = F.when(p.startswith("/"), F.split(p, "/")).otherwise(F.concat(r, F.split(p, "/")))
+    # a path that climbs above the file system's root collapses to null
+    up = lambda done, part: F.when(part.isin("", "."), done).when(part == "..", F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))).otherwise(F.concat(done, F.array(part)))
+    flat = F.aggregate(full, F.array().cast("array<string>"), up)
+    top = F.filter(r, lambda x: x != "")
+    return F.coalesce(~path.contains("\0") & (F.size(flat) >= F.size(top)) & (F.slice(flat, 1, F.greatest(F.size(top), F.lit(1))) == top), F.lit(False))
+
+
 def relative_path(path: Column, root: Column | str) -> Column:
     """The path below ``root`` with forward slashes; the bare name where it isn't below."""
     p, r = F.regexp_replace(path, r"\\", "/"), F.concat(F.rtrim(F.lit(root) if isinstance(root, str) else root, F.lit("/")), F.lit("/"))

@@ -22,34 +22,34 @@ SECRETS = (
     ("private_key", r"-----BEGIN\s+(RSA\s+)?PRIVATE\s+KEY-----"),
     ("connection_string", r"(?i)(mongodb|postgres|mysql|redis)://[^:]+:[^@]+@"),
 )
-# Patterns of injected instructions; the first group, if there is one to take, is the match.
+# Patterns of injected instructions.
 INJECTIONS = (
-    ("override_instructions", r"(?i)\bignore\s+(?:all\s+)?(?:previous|prior|above|earlier|your|my)\s+instructions?\b"),
-    ("disregard_instructions", r"(?i)\bdisregard\s+(?:all\s+)?(?:previous|prior|above|earlier|your)\s+instructions?\b"),
-    ("forget_instructions", r"(?i)\bforget\s+(?:all\s+)?(?:previous|prior|above|earlier)\s+(?:instructions?|context|rules?)\b"),
-    ("override_rules", r"(?i)\boverride\s+(?:your\s+)?(?:instructions?|rules?|guidelines?|constraints?|safety|alignment)\b"),
-    ("replace_instructions", r"(?i)\byour\s+(?:new|real|true|actual|updated)\s+instructions?\s*(?:are\s*:|:|\bfollow\b)"),
-    ("new_instructions", r"(?i)\bnew\s+instructions?\s*(?::|are|follow)\b"),
-    ("system_bracket_tag", r"(?i)\[\s*(?:SYSTEM|INST|SYS|INSTRUCTION|PROMPT|OPERATOR)\s*\]"),
-    ("system_angle_tag", r"(?i)<\s*(?:SYSTEM|INST|SYS|INSTRUCTION|PROMPT)\s*>"),
-    ("system_prompt_label", r"(?i)\bSYSTEM\s+(?:PROMPT|MESSAGE|INSTRUCTION|CONTEXT)\s*:"),
-    ("markdown_system_header", r"(?im)^#+\s*(?:SYSTEM|INSTRUCTION|PROMPT)\s*$"),
-    ("identity_hijack", r"(?i)\byou\s+are\s+now\s+(?:a\s+|an\s+)?(?:different|unrestricted|unfiltered|jailbroken|evil|rogue|uncensored)\b"),
-    ("act_as_malicious", r"(?i)\bact\s+as\s+(?:a\s+|an\s+)?(?:jailbroken|unfiltered|unrestricted|evil|malicious|rogue|uncensored)\b"),
-    ("pretend_jailbreak", r"(?i)\bpretend\s+(?:you\s+are|to\s+be)\s+(?:a\s+|an\s+)?(?:different|jailbroken|unfiltered|evil|uncensored)\b"),
-    ("from_now_on_override", r"(?i)\bfrom\s+now\s+on[,\s]+(?:you\s+)?(?:will|must|shall|should|are\s+to)\s+(?:ignore|forget|disregard|follow\s+new)\b"),
-    ("dan_jailbreak", r"(?i)\bDAN\b(?=\s*(?:mode|prompt|jailbreak|enabled|activated|is|:))"),
-    ("developer_mode_unlock", r"(?i)\bdeveloper\s+mode\s+(?:enabled|activated|on|unlock)\b"),
-    ("jailbreak_trigger", r"(?i)\bjailbreak(?:ed)?\s+(?:mode|claude|gpt|llm|ai|prompt)\b"),
+    ("override_instructions", r"(?i)\bignore\s+(all\s+)?(previous|prior|above|earlier|your|my)\s+instructions?\b"),
+    ("disregard_instructions", r"(?i)\bdisregard\s+(all\s+)?(previous|prior|above|earlier|your)\s+instructions?\b"),
+    ("forget_instructions", r"(?i)\bforget\s+(all\s+)?(previous|prior|above|earlier)\s+(instructions?|context|rules?)\b"),
+    ("override_rules", r"(?i)\boverride\s+(your\s+)?(instructions?|rules?|guidelines?|constraints?|safety|alignment)\b"),
+    ("replace_instructions", r"(?i)\byour\s+(new|real|true|actual|updated)\s+instructions?\s*(are\s*:|:|\bfollow\b)"),
+    ("new_instructions", r"(?i)\bnew\s+instructions?\s*(:|are|follow)\b"),
+    ("system_bracket_tag", r"(?i)\[\s*(SYSTEM|INST|SYS|INSTRUCTION|PROMPT|OPERATOR)\s*\]"),
+    ("system_angle_tag", r"(?i)<\s*(SYSTEM|INST|SYS|INSTRUCTION|PROMPT)\s*>"),
+    ("system_prompt_label", r"(?i)\bSYSTEM\s+(PROMPT|MESSAGE|INSTRUCTION|CONTEXT)\s*:"),
+    ("markdown_system_header", r"(?im)^#+\s*(SYSTEM|INSTRUCTION|PROMPT)\s*$"),
+    ("identity_hijack", r"(?i)\byou\s+are\s+now\s+(a\s+|an\s+)?(different|unrestricted|unfiltered|jailbroken|evil|rogue|uncensored)\b"),
+    ("act_as_malicious", r"(?i)\bact\s+as\s+(a\s+|an\s+)?(jailbroken|unfiltered|unrestricted|evil|malicious|rogue|uncensored)\b"),
+    ("pretend_jailbreak", r"(?i)\bpretend\s+(you\s+are|to\s+be)\s+(a\s+|an\s+)?(different|jailbroken|unfiltered|evil|uncensored)\b"),
+    ("from_now_on_override", r"(?i)\bfrom\s+now\s+on[,\s]+(you\s+)?(will|must|shall|should|are\s+to)\s+(ignore|forget|disregard|follow\s+new)\b"),
+    ("dan_jailbreak", r"(?i)\bDAN\b(?=\s*(mode|prompt|jailbreak|enabled|activated|is|:))"),
+    ("developer_mode_unlock", r"(?i)\bdeveloper\s+mode\s+(enabled|activated|on|unlock)\b"),
+    ("jailbreak_trigger", r"(?i)\bjailbreak(ed)?\s+(mode|claude|gpt|llm|ai|prompt)\b"),
     ("do_anything_now", r"(?i)\bdo\s+anything\s+now\b"),
     ("stan_jailbreak", r"(?i)\bSTAN\s+mode\b"),
-    ("exfiltrate_prompt", r"(?i)\b(?:reveal|output|print|repeat|show|leak|expose|dump)\s+(?:your\s+)?(?:system\s+)?(?:prompt|instructions?|rules?|guidelines?|training)\b"),
-    ("repeat_context", r"(?i)\brepeat\s+(?:everything|all(?:\s+the\s+text)?)\s+(?:above|before|prior|earlier)\b"),
-    ("probe_system_prompt", r"(?i)\bwhat\s+(?:are\s+your|is\s+your)\s+(?:instructions?|system\s+prompt|rules?|directives?)\b"),
-    ("ignore_context_above", r"(?i)\bignore\s+(?:everything|all(?:\s+the\s+text)?)\s+(?:above|before|prior|earlier)\b"),
-    ("encoded_instruction", r"(?i)\bdecode\s+(?:this|the\s+following|base64)\s+and\s+(?:execute|follow|run|perform|obey)\b"),
-    ("role_delimiter_injection", r"(?im)^(?:human|user|assistant|ai|claude|gpt)\s*:\s*ignore\b"),
-    ("code_block_system_injection", r"(?i)```\s*(?:system|instruction|prompt)\b"),
+    ("exfiltrate_prompt", r"(?i)\b(reveal|output|print|repeat|show|leak|expose|dump)\s+(your\s+)?(system\s+)?(prompt|instructions?|rules?|guidelines?|training)\b"),
+    ("repeat_context", r"(?i)\brepeat\s+(everything|all(\s+the\s+text)?)\s+(above|before|prior|earlier)\b"),
+    ("probe_system_prompt", r"(?i)\bwhat\s+(are\s+your|is\s+your)\s+(instructions?|system\s+prompt|rules?|directives?)\b"),
+    ("ignore_context_above", r"(?i)\bignore\s+(everything|all(\s+the\s+text)?)\s+(above|before|prior|earlier)\b"),
+    ("encoded_instruction", r"(?i)\bdecode\s+(this|the\s+following|base64)\s+and\s+(execute|follow|run|perform|obey)\b"),
+    ("role_delimiter_injection", r"(?im)^(human|user|assistant|ai|claude|gpt)\s*:\s*ignore\b"),
+    ("code_block_system_injection", r"(?i)```\s*(system|instruction|prompt)\b"),
 )
 # Words that make a literal an instruction; the first of the list that occurs decides.
 IMPERATIVES = (
@@ -62,20 +62,25 @@ SUSPICIOUS = (
     ("base64-like-block", r"[a-zA-Z0-9+/=]{100,}"),
     ("hex-encoded-data", r"(?:\\x[0-9a-fA-F]{2}){20,}"),
     ("url-encoded-data", r"(?:%[0-9a-fA-F]{2}){20,}"),
-    ("long-unbroken-string", r"\S{500,}"),
+    ("long-unbroken-string", r"[^\s]{500,}"),
 )
 LITERAL_CHARS, LITERAL_KEPT = 5_000, 500
 
 
+def _unicode(pattern: str) -> str:
+    """The pattern for an engine whose classes are ASCII unless told otherwise: white space and word borders are Unicode's."""
+    return f"(?U){pattern}"
+
+
 def found(text: Column, patterns: tuple[tuple[str, str], ...], least: int = 0) -> Column:
     """Names of the patterns that occur in texts of at least so many characters, in order."""
-    hits = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in patterns]))
+    hits = F.array_compact(F.array(*[F.when(text.rlike(_unicode(p)), F.lit(n)) for n, p in patterns]))
     return F.when(F.length(text) >= least, hits).otherwise(F.array().cast("array<string>"))
 
 
 def redact_secrets(text: Column) -> Column:
     """Every secret as [REDACTED:kind]; a later pattern sees what earlier ones left."""
-    out = reduce(lambda t, p: F.regexp_replace(t, p[1], f"[REDACTED:{p[0]}]"), SECRETS, text)
+    out = reduce(lambda t, p: F.regexp_replace(t, _unicode(p[1]), f"[REDACTED:{p[0]}]"), SECRETS, text)
     return F.when(F.length(text) >= 8, out).otherwise(text)
 
 
@@ -83,8 +88,8 @@ def secret_kinds(text: Column) -> Column:
     """Kinds of secrets in the order in which redaction meets them."""
     kinds, t = [], text
     for name, pattern in SECRETS:
-        kinds.append(F.when(t.rlike(pattern), F.lit(name)))
-        t = F.regexp_replace(t, pattern, f"[REDACTED:{name}]")
+        kinds.append(F.when(t.rlike(_unicode(pattern)), F.lit(name)))
+        t = F.regexp_replace(t, _unicode(pattern), f"[REDACTED:{name}]")
     return F.when(F.length(text) >= 8, F.array_compact(F.array(*kinds))).otherwise(F.array().cast("array<string>"))
 
 
@@ -97,7 +102,7 @@ def block_injections(text: Column) -> Column:
     out = text
     for name, pattern in INJECTIONS:
         # where nothing matches the search string is empty, and replacing it changes nothing
-        out = F.replace(out, F.regexp_extract(text, pattern, 0), F.lit(f"[INJECTION_BLOCKED:{name}]"))
+        out = F.replace(out, F.regexp_extract(text, _unicode(pattern), 0), F.lit(f"[INJECTION_BLOCKED:{name}]"))
     return F.when(F.length(text) >= 10, out).otherwise(text)
 
 

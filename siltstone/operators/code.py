@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-_LIST = "modules from_files external internal functions classes constants types names signatures async decorators inheritance methods properties interfaces method_signatures docstring depends_on".split()
+_LIST = "modules from_files external internal functions classes constants types names signatures async decorators inheritance methods properties interfaces method_signatures docstring depends_on bodies calls instantiates constant_values".split()
 FIELDS = StructType([StructField("language", StringType()), StructField("loc", LongType()), StructField("package", StringType()), *[StructField(f, ArrayType(StringType())) for f in _LIST]])
 # Modules that count as external though not dotted, and names of languages by extension.
 _STANDARD = ("os", "sys", "json", "typing")
@@ -27,6 +27,7 @@ def python_fields(text: str) -> dict:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return out
+    classes = {c.name for c in ast.walk(tree) if isinstance(c, ast.ClassDef)}
     methods = {id(f) for c in ast.walk(tree) if isinstance(c, ast.ClassDef) for f in c.body}
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
@@ -54,6 +55,12 @@ def python_fields(text: str) -> dict:
                 for x in ast.walk(node):
                     if isinstance(x, ast.Attribute) and isinstance(x.ctx, ast.Store) and isinstance(x.value, ast.Name) and x.value.id == "self":
                         out["properties"].append(x.attr)
+            out["bodies"].append(ast.get_source_segment(text, node) or "")
+        elif isinstance(node, ast.Call):
+            name = ast.unparse(node.func) if isinstance(node.func, ast.Name | ast.Attribute) else ""
+            if re.fullmatch(r"[\w.]+", name):
+                last = name.rsplit(".", 1)[-1]
+                out["instantiates" if last in classes or re.match(r"[A-Z][a-z\d]*[a-z]", last) else "calls"].append(name)
         elif isinstance(node, ast.ClassDef):
             out["classes"].append(node.name)
             out["inheritance"] += [ast.unparse(b) for b in node.bases]
@@ -61,7 +68,10 @@ def python_fields(text: str) -> dict:
                 out["docstring"].append(doc.split("\n")[0][:200])
     for node in tree.body:
         if isinstance(node, ast.Assign):
-            out["constants"] += [t.id for t in node.targets if isinstance(t, ast.Name) and t.id.isupper()]
+            for t in node.targets:
+                if isinstance(t, ast.Name) and t.id.isupper():
+                    out["constants"].append(t.id)
+                    out["constant_values"].append(f"{t.id} = {ast.unparse(node.value)}")
     out["functions"] = [n for n in out["names"] if not n.startswith("_")]
     return _done(out)
 

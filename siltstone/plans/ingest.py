@@ -179,7 +179,8 @@ def ingest(spark: SparkSession, store: S.Store, files: DataFrame, project_id: st
     now = F.current_timestamp()
     opened = spark.createDataFrame([(run_id, project_id, ingest_source, source_ref, "running")], "run_id string, project_id string, ingest_source string, source_ref string, status string")
     none = {"created_at": now, "completed_at": F.lit(None).cast("timestamp"), "snapshot_count": F.lit(0).cast("bigint"), "file_count": F.lit(0).cast("bigint")}
-    store.write("runs", store.read("runs").unionByName(opened.withColumns(none)))
+    # a run of this id that was begun before is begun anew; it never has two rows
+    store.write("runs", store.read("runs").where(F.col("run_id") != run_id).unionByName(opened.withColumns(none)))
     try:
         new = snapshots(files, project_id, run_id)
         store.write("snapshots", S.upsert(store.read("snapshots"), new))

@@ -14,7 +14,7 @@ def by_file(snapshots: DataFrame) -> DataFrame:
 def by_type(snapshots: DataFrame) -> DataFrame:
     """(snapshot_type, source_file, n_of_type): the files of each type as rows, since a type may have any number."""
     sizes = snapshots.groupBy("snapshot_type").agg(F.count(F.lit(1)).alias("n_of_type"))
-    return snapshots.select("snapshot_type", "source_file").join(F.broadcast(sizes), "snapshot_type")
+    return snapshots.select("snapshot_type", "source_file").join(sizes, "snapshot_type")
 
 
 def file_notebook(snapshots: DataFrame, file: str) -> DataFrame:
@@ -29,7 +29,6 @@ def summary(snapshots: DataFrame) -> DataFrame:
 
 def stats(snapshots: DataFrame, type_col: str, file_col: str, size_col: str) -> DataFrame:
     """(kind, name, n, kb): by type, by file and over all, in one pass of grouping sets."""
-    snapshots.createOrReplaceTempView("_snapshot_stats")
     g = snapshots.groupingSets([[F.col(type_col)], [F.col(file_col)], []], F.col(type_col), F.col(file_col))
     out = g.agg(F.count(F.lit(1)).alias("n"), F.sum(size_col).alias("bytes"), F.grouping_id().alias("g"))
     kind = F.when(F.col("g") == 1, "type").when(F.col("g") == 2, "file").otherwise("total")
@@ -51,12 +50,12 @@ def size_ratio(source_bytes, snapshot_bytes):
     return F.when(source_bytes > 0, F.round(snapshot_bytes / source_bytes, 3)).otherwise(0.0)
 
 
-def search(snapshots: DataFrame, status: str = "active", snapshot_type: str | None = None, fragment: str | None = None, limit: int = 50) -> DataFrame:
-    """The first rows by file and type that match: ``status`` may be all; a fragment occurs anywhere in the file's name."""
+def search(snapshots: DataFrame, status: str = "active", snapshot_type: str | None = None, fragment: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The first rows after ``offset`` by file and type that match: ``status`` may be all; a fragment occurs anywhere in the file's name."""
     out = snapshots if status == "all" else snapshots.where(F.col("status") == status)
     out = out if snapshot_type is None else out.where(F.col("snapshot_type") == snapshot_type)
     out = out if fragment is None else out.where(F.col("source_file").contains(fragment))
-    return out.orderBy("source_file", "snapshot_type").limit(limit)
+    return out.orderBy("source_file", "snapshot_type").offset(offset).limit(limit)
 
 
 def missing_required(snapshots: DataFrame, registry: DataFrame) -> DataFrame:

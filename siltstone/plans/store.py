@@ -114,6 +114,24 @@ def _has_map(df: DataFrame) -> bool:
     return any(t.startswith("map") for _, t in df.dtypes)
 
 
+def replace_payload(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``old`` with the given columns taken from the row of ``new`` with the same key, where there is one."""
+    fresh = new.select(F.col(key).alias("_k"), F.lit(True).alias("_in"), *[F.col(c).alias(f"_new_{c}") for c in columns]).dropDuplicates(["_k"])
+    both = old.join(fresh, old[key] == fresh["_k"], "left")
+    return both.select(*[F.when(F.col("_in"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
+
+
+def last_wins(layers: list[DataFrame], key: list[str]) -> DataFrame:
+    """The rows of all layers, of equal keys the one of the latest layer. Null keys equal each other."""
+    every = None
+    for i, layer in enumerate(layers):
+        one = layer.withColumn("_layer", F.lit(i))
+        every = one if every is None else every.unionByName(one)
+    rest = [c for c in every.columns if c not in (*key, "_layer")]
+    best = every.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col("_layer")).alias("x"))
+    return best.select(*key, "x.*").select(*layers[0].columns)
+
+
 def insert_if_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     had = old.select(F.col(key).alias("_k"))
     return old.unionByName(new.join(had, new[key] == had["_k"], "left_anti").select(*old.columns))

@@ -221,7 +221,9 @@ def secret_scan_counts(spark, d):
     return t(spark, d, "documents").select(F.explode(redact.secret_kinds(text())).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-_INJ = tuple((n, p.replace(r"(?=\s*(?:", r"\s*(?:").replace("|is|:))", "|is|:)")) for n, p in redact.INJECTIONS)
+#: The one pattern with lookahead, which the engine of the SQL lacks, for counting.
+_DAN = r"(?i)\bDAN\b\s*(mode|prompt|jailbreak|enabled|activated|is|:)"
+_INJ = tuple((n, _DAN if n == "dan_jailbreak" else p) for n, p in redact.INJECTIONS)
 _CHATS = "(select text from conversations union all select text from documents union all select html from pages)"
 
 
@@ -271,7 +273,7 @@ def _dehydrate_sql() -> str:
     return f"select conv_id, turn, sha256(array_to_string(list_transform(regexp_extract_all(text, {q(W + r'|[^\p{L}\p{N}_]+')}), lambda p: {p}), '')) compact_hash from conversations"
 
 
-@query()
+@query(_dehydrate_sql())
 def dehydrate_text(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", F.sha2(T.dehydrate(text()), 256).alias("compact_hash"))
 
@@ -360,7 +362,7 @@ def json_paths(spark, d):
 _URLS = r"""regexp_extract_all(html, '(?:http://|https:/)[^"''\n ]*')"""
 
 
-@query()
+@query(f"select page_id, len({_URLS})::BIGINT n_urls, array_to_string({_URLS}, '|') urls from pages")
 def config_urls(spark, d):
     return t(spark, d, "pages").select("page_id", config.urls(F.col("html")).alias("u")).select("page_id", F.size("u").cast("bigint").alias("n_urls"), joined(F.col("u")).alias("urls"))
 
@@ -379,8 +381,9 @@ def db_strings(spark, d):
 # --- tables ---
 
 _TABLES = {
-    "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
-    "lineitem": ("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
 }
 
 
@@ -395,7 +398,7 @@ def _profile_sql(table: str) -> str:
 
 def _profile(name: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return csvprof.profile(t(spark, d, name).select(*_TABLES[name]))
+        return csvprof.profile(t(spark, d, name))
 
     run.__name__ = f"csv_profile_{name}"
     query(_profile_sql(name))(run)
@@ -446,16 +449,99 @@ def route_files(spark, d):
     return _paths(spark, d).select("doc_id", "path", paths.field_type(p).alias("field_type"), joined(paths.parsers(p)).alias("parsers"))
 
 
-@query()
+@query(
+    f"with p as (select lower(regexp_extract(path, '\\.([^./]+)$', 1)) e from {_PATHS}), k as (select case when e in ('py', 'ts', 'tsx', 'js', 'jsx', 'java', 'go', 'rs') then ['tree_sitter', 'semgrep'] "
+    "when e in ('pdf', 'txt', 'md', 'docx', 'html', 'htm', 'rtf', 'csv', 'tsv', 'jsonl', 'json', 'yaml', 'yml', 'xml', 'toml') then ['nim_parser'] else ['skipped'] end a from p) "
+    "select parser, count(*)::BIGINT n_files from (select unnest(a) parser from k) group by 1"
+)
 def route_summary(spark, d):
     each = _paths(spark, d).select(F.explode(F.when(paths.field_type(F.col("path")).isNull(), F.array(F.lit("skipped"))).otherwise(paths.parsers(F.col("path")))).alias("parser"))
     return each.groupBy("parser").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-@query(f"select doc_id, regexp_matches(path, {q(r'(^|/)(\.env|node_modules|[^/]*\.pyc)(/|$)')}) ignored from {_PATHS.replace('source ||', chr(39) + 'node_modules/' + chr(39) + ' || source ||')}")
+_DIRS = ["src", "node_modules", ".git", "docs", "build", ".venv", "lib", "__pycache__", "app", "coverage", "tests", ".aws"]
+_NAMES = ["main.py", "data.db", "old.bak", ".env", "notes.md", "server.key", "a.tmp", "app.log", "site.min.js", "x.sqlite3", "readme.txt"]
+_DIRTY = f"(select doc_id, source || '/' || ([{', '.join(map(q, _DIRS))}])[doc_id % 12 + 1] || '/' || doc_id || '/' || ([{', '.join(map(q, _NAMES))}])[doc_id % 11 + 1] path from documents)"
+
+
+@query(
+    f"select doc_id, path, len(list_filter(string_split(path, '/'), lambda x: x in ('node_modules', '.git', 'build', '.venv', '__pycache__', 'coverage', '.aws', '.env') or regexp_matches(x, '[.](db|bak|key|tmp|log|min[.]js|sqlite3)$'))) > 0 ignored from {_DIRTY}"
+)
 def ignore_filter(spark, d):
-    p = _paths(spark, d)
-    return p.select("doc_id", paths.ignored(F.concat(F.lit("node_modules/"), "path")).alias("ignored"))
+    def pick(names: list[str]):
+        return F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int"))
+
+    p = t(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", pick(_DIRS), F.col("doc_id").cast("string"), pick(_NAMES)).alias("path"))
+    return p.select("doc_id", "path", paths.ignored(F.col("path")).alias("ignored"))
+
+
+@query(
+    "with h as (select page_id, url, lower(rtrim(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.')) h from pages), a as (select *, h = 'example.com' or h like '%.example.com' ok from h) "
+    "select page_id, regexp_matches(url, '^https?://') and ok url_ok, h = 'github.com' and starts_with(url, 'https://') and len(list_filter(string_split(substr(url, 20), '/'), lambda x: x <> '')) >= 2 repo_ok, ok remote_ok from a"
+)
+def url_rules(spark, d):
+    url, allowed = F.col("url"), ["example.com"]
+    remote = F.concat(F.lit("git@"), paths.host(url), F.lit(":team/project.git"))
+    return t(spark, d, "pages").select("page_id", paths.url_ok(url, allowed).alias("url_ok"), paths.repo_url_ok(url).alias("repo_ok"), paths.git_remote_ok(remote, allowed).alias("remote_ok"))
+
+
+_NETS = ["10.", "127.", "8.", "192.168.", "169.254.", "172.16.", "172.31.", "172.32.", "192.169."]
+
+
+@query(
+    f"with h as (select c_custkey, ([{', '.join(map(q, _NETS))}])[c_custkey % 9 + 1] p, c_custkey % 250 n from customer) select c_custkey, p || case when len(string_split(p, '.')) = 2 then '0.0.' else '0.' end || n host, "
+    "p in ('10.', '127.', '192.168.', '169.254.', '172.16.', '172.31.') private from h"
+)
+def private_hosts(spark, d):
+    p = F.element_at(F.array(*map(F.lit, _NETS)), (F.col("c_custkey") % 9 + 1).cast("int"))
+    h = F.concat(p, F.when(F.size(F.split(p, "[.]")) == 2, "0.0.").otherwise("0."), (F.col("c_custkey") % 250).cast("string"))
+    return t(spark, d, "customer").select("c_custkey", h.alias("host"), paths.private_address(h).alias("private"))
+
+
+@query(
+    "select doc_id, case when lang = 'en' then source || '/' || doc_id when lang = 'de' then 'doc' || doc_id else doc_id::VARCHAR end relative, case when lang = 'fr' then false else lang <> 'de' or source = 'src1' end contained from documents"
+)
+def path_containment(spark, d):
+    path = F.when(F.col("lang") == "en", F.concat(F.lit("/data/root/"), "source", F.lit("/"), "doc_id")).when(F.col("lang") == "de", F.concat(F.lit("/data/rooted/"), F.lit("doc"), "doc_id"))
+    path = path.when(F.col("lang") == "fr", F.concat(F.lit("/data/root/../"), "doc_id")).otherwise(F.concat(F.lit("/data/root/a/./../"), "doc_id"))
+    inside = F.when((F.col("lang") == "de") & (F.col("source") == "src1"), F.concat(F.lit("sub/../"), "doc_id")).otherwise(path)
+    relative = F.when(F.col("lang").isin("en", "de"), paths.relative_path(path, "/data/root")).otherwise(F.col("doc_id").cast("string"))
+    return t(spark, d, "documents").select("doc_id", relative.alias("relative"), paths.contained(inside, "/data/root").alias("contained"))
+
+
+@query(
+    f"with p as (select doc_id, lower(regexp_extract(path, '\\.([^./]+)$', 1)) e from {_PATHS}) select doc_id, case e when 'md' then 'markdown' when 'csv' then 'csv' when 'json' then 'json' when 'html' then 'html' when 'toml' then 'toml' when 'jsonl' then 'jsonl' else 'text' end format from p"
+)
+def file_formats(spark, d):
+    return _paths(spark, d).select("doc_id", paths.file_format(F.col("path")).alias("format"))
+
+
+@query(
+    f"with p as (select doc_id, lower(regexp_extract(path, '\\.([^./]+)$', 1)) e, octet_length(encode(text))::BIGINT * 1000 n from {_PATHS} join documents using (doc_id)) select doc_id, n n_bytes, case when n > 5242880 then 'too_large' end problem from p"
+)
+def size_rules(spark, d):
+    sizes = t(spark, d, "documents").select("doc_id", (F.octet_length("text").cast("bigint") * 1000).alias("n_bytes"))
+    return _paths(spark, d).join(sizes, "doc_id").select("doc_id", "n_bytes", paths.size_problem(F.col("path"), F.col("n_bytes")).alias("problem"))
+
+
+@query("select o_orderkey, case when o_totalprice * 300 / 1048576 > 50 or o_orderkey * 50 > 500000 then 'reject' when o_totalprice * 300 / 1048576 > 5 or o_orderkey * 50 > 50000 then 'warn' else 'ok' end verdict from orders")
+def csv_limits(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", csvprof.limits(F.col("o_totalprice") * 300, F.col("o_orderkey") * 50).alias("verdict"))
+
+
+@query("select 'p_partkey' column_name, (count(*) filter (len(p_partkey::VARCHAR) > 12))::BIGINT n_long from part union all select 'p_name', (count(*) filter (len(p_name) > 12))::BIGINT from part union all select 'p_brand', (count(*) filter (len(p_brand) > 12))::BIGINT from part union all select 'p_type', (count(*) filter (len(p_type) > 12))::BIGINT from part union all select 'p_size', 0 union all select 'p_retailprice', (count(*) filter (len(p_retailprice::VARCHAR) > 12))::BIGINT from part")
+def csv_long_cells(spark, d):
+    return csvprof.long_cells(t(spark, d, "part"), 12)
+
+
+@query("select 11::BIGINT column_count, count(*)::BIGINT row_count from lineitem")
+def csv_summary(spark, d):
+    return csvprof.summary(t(spark, d, "lineitem"))
+
+
+@query("select c_custkey, '[REDACTED:' || length(c_name) || 'chars]' hidden from customer")
+def mask_values(spark, d):
+    return t(spark, d, "customer").select("c_custkey", redact.mask(F.col("c_name")).alias("hidden"))
 
 
 @query(
@@ -572,16 +658,58 @@ def stale_runs(spark, d):
 
 
 @query(
-    f"with a as (select l.doc_id, sha256(d.text) h from labels l join documents d using (doc_id)), b as (select doc_id, sha256({_RED}) h from documents) "
+    f"with a as (select l.doc_id, sha256(d.text) h from labels l join documents d using (doc_id)), b as (select doc_id, sha256({_RED}) h from documents where doc_id not in (select doc_id from labels where toxic = 1)) "
     "select coalesce(a.doc_id, b.doc_id) doc_id, case when a.doc_id is null then 'new' when b.doc_id is null then 'deleted' when a.h is not distinct from b.h then 'unchanged' else 'changed' end status from a full join b on a.doc_id = b.doc_id"
 )
 def run_diff(spark, d):
-    docs = t(spark, d, "documents")
-    before = docs.join(t(spark, d, "labels").select("doc_id"), "doc_id").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    after = docs.select("doc_id", F.sha2(redact.redact_secrets(text()), 256).alias("content_hash"))
+    """From the labelled documents to all that aren't labelled toxic, redacted: all four states occur."""
+    docs, labels = t(spark, d, "documents"), t(spark, d, "labels")
+    before = docs.join(labels.select("doc_id"), "doc_id").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    after = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.sha2(redact.redact_secrets(text()), 256).alias("content_hash"))
     return store.diff(before, after, ["doc_id"])
 
 
+@query("select d.doc_id, case when l.doc_id is null then d.source else 'labelled' end source, d.lang from documents d left join labels l using (doc_id)")
+def payload_update(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "source", "lang")
+    return store.replace_payload(docs, t(spark, d, "labels").select("doc_id", F.lit("labelled").alias("source")), "doc_id", ["source"])
+
+
+@query("select doc_id, max(case origin when 'a' then 1 else 2 end)::INT layer from (select doc_id, 'a' origin from documents union all select doc_id, 'b' from labels) group by 1")
+def field_merge(spark, d):
+    return store.last_wins([t(spark, d, "documents").select("doc_id", F.lit(1).alias("layer")), t(spark, d, "labels").select("doc_id", F.lit(2).alias("layer"))], ["doc_id"])
+
+
+@query(
+    f"with {_RUNS}, m as (select project_id p, ingest_source s from r where run_id = '1') select run_id, case when run_id = '1' then 'active' when status = 'active' and exists (select 1 from m where p = project_id and s = ingest_source) then 'superseded' else status end status from r"
+)
+def promote_run(spark, d):
+    return store.promote(_runs(spark, d), "1").select("run_id", "status")
+
+
+@query(
+    f"with {_RUNS}, i as (select project_id, run_id, unnest([case when status = 'failed' then 'failed' end, case when status = 'active' and file_count = 0 then 'no files' end, case when status = 'active' and snapshot_count = 0 then 'no snapshots' end]) issue from r) select * from i where issue is not null"
+)
+def run_issues(spark, d):
+    return store.issues(_runs(spark, d))
+
+
+@query("select lang snapshot_type, 'doc_' || doc_id || '.txt' source_file from documents order by source_file, snapshot_type limit 50 offset 100")
+def snapshot_page(spark, d):
+    return notebook.search(_snapshots(spark, d).withColumn("status", F.lit("active")), status="all", offset=100).select("snapshot_type", "source_file")
+
+
+_GRAMS = "list_distinct(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i+1] || ' ' || a[i+2]))"
+
+
+@query(
+    f"with d as (select doc_id, unnest({_GRAMS}) g from (select doc_id, {TOK} a from documents) where len(a) >= 3), b as (select item_id, unnest({_GRAMS}) g from (select item_id, {TOK} a from benchmark) where len(a) >= 3), "
+    "n as (select item_id, count(*) n from b group by 1) select doc_id, item_id, count(*)::BIGINT n_shared, round(count(*) / any_value(n), 6) share from d join b using (g) join n using (item_id) group by 1, 2 having count(*) >= any_value(n) * 0.5"
+)
+def benchmark_overlap(spark, d):
+    return neardup.overlap(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 @query(
     f"with a as (select l.doc_id, sha256(d.text) h from labels l join documents d using (doc_id)), b as (select doc_id, sha256({_RED}) h from documents) "
     "select b.doc_id, case when a.doc_id is null then 'V001' when a.h is not distinct from b.h then 'V002' else 'V003' end event from b left join a on a.doc_id = b.doc_id"

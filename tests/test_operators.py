@@ -95,3 +95,12 @@ def test_office_files():
 def test_logs(spark):
     rows = spark.createDataFrame([(i, "ERROR" if i % 2 else "INFO") for i in range(20)], "i int, level string")
     assert [r["i"] for r in logs.log_tail(rows, ["i"], "level", "ERROR", 3).collect()] == [19, 17, 15]
+
+
+def test_bodies_calls_and_instantiations():
+    from siltstone.operators import code
+
+    text = "LIMIT = 3\n\nclass Box:\n    def put(self, x):\n        return helper(x)\n\ndef helper(x):\n    b = Box()\n    os.path.join('a', x)\n    return Path(x)\n"
+    out = code.python_fields(text)
+    assert sorted(out["calls"]) == ["helper", "os.path.join"] and sorted(out["instantiates"]) == ["Box", "Path"] and out["constant_values"] == ["LIMIT = 3"]
+    assert sorted(out["bodies"]) == ["def helper(x):\n    b = Box()\n    os.path.join('a', x)\n    return Path(x)", "def put(self, x):\n        return helper(x)"]
