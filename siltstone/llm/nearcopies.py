@@ -8,9 +8,9 @@ probability 5e-8, one of 0.9 with 1e-15. Pairs that meet are discarded by size a
 coordinate difference over the radius), the survivors' fingerprints are compared, and what is within the radius is
 verified by exact Jaccard similarity.
 
-Comparing all pairs of a bucket would be quadratic in a large group of copies. So first every class of a bucket is
-tried against its smallest, then against a few others drawn at random, in rounds; each is linear in the bucket, and a class
-that is near to many is linked by then. Only classes of a bucket that are still in different groups are tried pair by pair.
+Comparing all pairs of a bucket would be quadratic in a large group of copies. So first every class is
+tried against the smallest class that it meets most often, then against a few others of its buckets drawn at random, in rounds;
+each is linear in the number of classes, and a class that is near to many is linked by then. Only classes of a bucket that are still in different groups are tried pair by pair.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ RADIUS, RADIUS_SMALL, SMALL = 118, 140, 40
 WORDS, N_PIVOTS = 8, 16
 #: Rounds in which the classes of a bucket are tried against HUBS of them.
 ROUNDS, HUBS = 2, 8
+#: Pairs of a class that a round verifies; those that don't come to it are tried at the end, if still in different groups.
+A_ROUND = 4
 _RNG = np.random.default_rng(20_113)
 _FLIP, _ODD = _RNG.integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _ODD |= np.uint64(1)
@@ -171,7 +173,7 @@ def _hubs(seed: int):
         for k in range(HUBS):
             hub = np.minimum(start + k, len(node) - 1)
             use = np.flatnonzero((bucket[hub] == bucket) & (group[hub] != group))
-            yield _pairs(node[hub[use]], node[use])
+            yield pa.RecordBatch.from_arrays([pa.array(node[hub[use]]), pa.array(node[use])], names=["a", "b"])
 
     return make
 
@@ -205,7 +207,7 @@ def _sifted(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame
             a, b, na, nb, *words = (c.to_numpy() for c in batch.columns)
             fa, fb = (np.stack(w, 1).view(np.uint64) for w in (words[:WORDS], words[WORDS:]))
             ok = near(fa, fb, na, nb, pivot_table(fa), pivot_table(fb), similarity)
-            yield _pairs(a[ok], b[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -236,7 +238,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = stored(_sets(texts, text_col, words_per_shingle))
     member = stored(star.select("bucket", F.col("b").alias("node")).unionByName(star.select("bucket", F.col("a").alias("node")).distinct()))
 
-    links = durable(_confirmed(_sifted(star.select("a", "b"), prints, similarity), sets, similarity))
+    # of the smallest classes of its buckets each class is first tried against the one it meets most often
+    met = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", F.col("a"))).alias("a"))
+    links = durable(_confirmed(_sifted(met.select("a", "b"), prints, similarity), sets, similarity))
     for step in range(ROUNDS + 1):
         label = components.connect(links)
         grouped = durable(member.join(label, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("group")))
@@ -244,6 +248,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = grouped.join(mixed, "bucket", "left_semi").select("bucket", "node", "group")
         if step < ROUNDS:
             pairs = _sifted(_by_bucket(rest, _hubs(step), "a bigint, b bigint"), prints, similarity)
+            few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("a", "b").alias("h"), "a"))), 1, A_ROUND)
+            pairs = pairs.groupBy("b").agg(few.alias("few")).select(F.explode("few.a").alias("a"), "b")
         else:
             rest = rest.join(prints, "node").select("bucket", "node", "group", "size", *_F)
             pairs = _by_bucket(rest, _apart(similarity), "a bigint, b bigint")
