@@ -240,9 +240,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # of the smallest classes of its buckets each class is first tried against the one it meets most often
     met = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", F.col("a"))).alias("a"))
-    links = durable(_confirmed(_sifted(met.select("a", "b"), prints, similarity), sets, similarity))
+    label = components.connect(_confirmed(_sifted(met.select("a", "b"), prints, similarity), sets, similarity))
     for step in range(ROUNDS + 1):
-        label = components.connect(links)
         grouped = durable(member.join(label, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("group")))
         mixed = grouped.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("bucket")
         rest = grouped.join(mixed, "bucket", "left_semi").select("bucket", "node", "group")
@@ -253,7 +252,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         else:
             rest = rest.join(prints, "node").select("bucket", "node", "group", "size", *_F)
             pairs = _by_bucket(rest, _apart(similarity), "a bigint, b bigint")
-        links = durable(links.unionByName(_confirmed(pairs, sets, similarity)))
-    label = components.connect(links)
+        # what is linked so far goes in as stars, which take no rounds
+        label = components.connect(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_confirmed(pairs, sets, similarity)))
     grouped = classes.join(label, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     return keep_rows(docs, grouped.groupBy("root").agg(F.min("best").alias("best")).select("best.*"), id_col, text_col)
