@@ -173,20 +173,31 @@ def snapshots(files: DataFrame, project_id: str, run_id: str) -> DataFrame:
     )
 
 
-def ingest(spark: SparkSession, store: S.Store, files: DataFrame, project_id: str, ingest_source: str = "local", source_ref: str = "", run_id: str | None = None) -> str:
-    """Runs a whole ingestion and returns the run's id. If it fails, the run is marked failed and none of its rows are seen."""
+def ingest(spark: SparkSession, store: S.Store, files: DataFrame, project_id: str, ingest_source: str = "local", source_ref: str = "", run_id: str | None = None, keep_others: bool = False) -> str:
+    """Runs a whole ingestion and returns the run's id. If it fails, the run is marked failed and none of its rows are seen.
+
+    The run takes the place of the source's active one. With ``keep_others`` the snapshots of files that ``files`` doesn't have move on to it, so
+    that ``files`` may be a part of the source. Should the run be lost between the merge and its promotion, running it again under the same id completes it.
+    """
     run_id = run_id or uuid.uuid4().hex
     now = F.current_timestamp()
+    of_source = (F.col("project_id") == project_id) & (F.col("ingest_source") == ingest_source)
+    before = S.active_pointers(store.read("runs")).where(of_source).first()
     opened = spark.createDataFrame([(run_id, project_id, ingest_source, source_ref, "running")], "run_id string, project_id string, ingest_source string, source_ref string, status string")
     none = {"created_at": now, "completed_at": F.lit(None).cast("timestamp"), "snapshot_count": F.lit(0).cast("bigint"), "file_count": F.lit(0).cast("bigint")}
     # a run of this id that was begun before is begun anew; it never has two rows
-    store.write("runs", store.read("runs").where(F.col("run_id") != run_id).unionByName(opened.withColumns(none)))
+    store.update("runs", lambda runs: runs.where(F.col("run_id") != run_id).unionByName(opened.withColumns(none)))
+
+    def merged(old: DataFrame) -> DataFrame:
+        if keep_others and before is not None:
+            old = S.moved_on(old, before["active_run_id"], run_id, files.select(F.col("relative").alias("source_file")))
+        return S.upsert(old, snapshots(files, project_id, run_id))
+
     try:
-        new = snapshots(files, project_id, run_id)
-        store.write("snapshots", S.upsert(store.read("snapshots"), new))
+        store.update("snapshots", merged)
         n = store.read("snapshots").where(F.col("run_id") == run_id).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_file").alias("f")).first()
-        store.write("runs", S.promote(S.complete(store.read("runs"), run_id, n["f"], n["n"], now), run_id))
+        store.update("runs", lambda runs: S.promote(S.complete(runs, run_id, n["f"], n["n"], now), run_id))
     except Exception:
-        store.write("runs", S.fail(store.read("runs"), run_id, now))
+        store.update("runs", lambda runs: S.fail(runs, run_id, now))
         raise
     return run_id

@@ -6,6 +6,10 @@ DataFrames; ``Store`` keeps the tables as Parquet, a directory for each version.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +114,14 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str] | None = None) -> Data
     return kept.unionByName(fresh.join(had, same, "left_anti").select(*old.columns))
 
 
+def moved_on(snapshots: DataFrame, before: str, run_id: str, files: DataFrame) -> DataFrame:
+    """``snapshots`` with those of the run ``before`` under ``run_id``, but for the ones of ``files`` (source_file)."""
+    here = files.select(F.col("source_file").alias("_file")).distinct()
+    run = F.when((F.col("run_id") == before) & F.col("_file").isNull(), F.lit(run_id)).otherwise(F.col("run_id"))
+    joined = snapshots.join(here, F.col("source_file") == F.col("_file"), "left")
+    return joined.select(*[run.alias(c) if c == "run_id" else F.col(c) for c in snapshots.columns])
+
+
 def _has_map(df: DataFrame) -> bool:
     return any(t.startswith("map") for _, t in df.dtypes)
 
@@ -176,41 +188,93 @@ def transfer(source: dict[str, DataFrame], target: dict[str, DataFrame]) -> dict
     return {"runs": insert_if_absent(target["runs"], source["runs"], "run_id"), "snapshots": insert_if_absent(target["snapshots"], source["snapshots"], "snapshot_id"), "pointers": pointers}
 
 
+class Changed(RuntimeError):
+    """Another writer made a version of the table first."""
+
+
 class Store:
-    """Tables under a folder that Spark can write. A table's current version is its newest complete directory."""
+    """Tables under a folder that Spark can write.
+
+    The rows of a version are in a folder of their own. The version exists once a file ``<number>.version`` that names the folder has been renamed
+    into place, which only one of several writers can do; a writer that is lost before leaves nothing but a folder that no version names.
+    (On a local disk the rename looks first and then moves, so that writers there should be one process.)
+    """
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
-    def _versions(self, table: str) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{table}")
+    def _path(self, table: str, name: str = ""):
+        """A path of the table and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{table}/{name}".rstrip("/"))
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        done = [int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(done)
+        return fs.makeQualified(path), fs
 
-    def read(self, table: str) -> DataFrame:
+    def _versions(self, table: str) -> list[int]:
+        path, fs = self._path(table)
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n.removesuffix(".version")) for n in names if n.endswith(".version"))
+
+    def _folder(self, table: str, number: int) -> str:
+        path, fs = self._path(table, f"{number}.version")
+        file = fs.open(path)
+        try:
+            return file.readUTF()
+        finally:
+            file.close()
+
+    def version(self, table: str) -> int:
+        """The newest version, 0 before the first."""
+        return max(self._versions(table), default=0)
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
         schema = {"snapshots": SNAPSHOTS, "runs": RUNS}[table]
-        at = self._versions(table)
+        at = self.version(table) if version is None else version
         if not at:
             return self.spark.createDataFrame([], schema)
         columns = [x.split()[0] for x in schema.split(", ")]
-        return self.spark.read.schema(schema).parquet(f"{self.base}/{table}/v{at[-1]}").select(*columns)
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{table}/{self._folder(table, at)}").select(*columns)
 
-    def write(self, table: str, rows: DataFrame) -> None:
-        """Writes the next version; readers go on with the one they have. Older ones than the last two are left to ``vacuum``."""
-        number = max(self._versions(table), default=0) + 1
+    def write(self, table: str, rows: DataFrame, after: int | None = None) -> None:
+        """Writes the version that follows ``after``, the newest by default; readers go on with the one they have.
+
+        Raises ``Changed`` if that version exists by then. Older ones than the last two are left to ``vacuum``.
+        """
+        number = (self.version(table) if after is None else after) + 1
+        folder = f"rows-{uuid.uuid4().hex}"
         by = ["project_id", "snapshot_type"] if table == "snapshots" else []
-        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.base}/{table}/v{number}")
+        rows.write.partitionBy(*by).parquet(f"{self.base}/{table}/{folder}")
+        draft, fs = self._path(table, f"{folder}.draft")
+        out = fs.create(draft, True)
+        out.writeUTF(folder)
+        out.close()
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
+        plainly = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(draft, self._path(table, f"{number}.version")[0], plainly)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            fs.delete(draft, False)
+            fs.delete(self._path(table, folder)[0], True)
+            raise Changed(f"{table} has a version {number} already") from None
+
+    def update(self, table: str, change: Callable[[DataFrame], DataFrame], tries: int = 10) -> None:
+        """Writes what ``change`` makes of the table's rows; where another writer came first, what it makes of the rows since."""
+        for left in reversed(range(tries)):
+            at = self.version(table)
+            try:
+                return self.write(table, change(self.read(table, at)), after=at)
+            except Changed:
+                if not left:
+                    raise
 
     def vacuum(self, table: str, keep: int = 2) -> None:
-        jvm = self.spark._jvm
+        """Removes all versions but the newest ``keep``."""
         for n in self._versions(table)[:-keep]:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{table}/v{n}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            folder, fs = self._path(table, self._folder(table, n))
+            fs.delete(self._path(table, f"{n}.version")[0], False)
+            fs.delete(folder, True)
 
     def active(self) -> DataFrame:
         return visible(self.read("snapshots"), active_pointers(self.read("runs")))

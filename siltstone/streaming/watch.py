@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,14 +14,21 @@ from siltstone.plans.store import Store
 
 
 def watch(spark: SparkSession, root: str, store: Store, project_id: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Ingests files as they appear. A batch that is run again after a failure makes the same run id and the same rows, so nothing is doubled."""
+    """Ingests files as they appear; the folder is one source, and a file of a batch takes the place of its earlier version.
+
+    A batch is a run named after the query and the batch, so that one that is run again after a failure completes the same run, and one that
+    was completed is passed over. Spark takes a path once for each checkpoint, and doesn't report files that are gone.
+    """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
     rows = files.select(P.relative_path(path, root).alias("relative"), "content").where(~P.ignored(F.col("relative")))
 
     def merge(batch: DataFrame, number: int) -> None:
-        I.ingest(batch.sparkSession, store, batch, project_id, f"watch-{number}", root, run_id=f"{project_id}-{number}")
+        query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        run_id = f"{project_id}-{query}-{number}"
+        if store.read("runs").where((F.col("run_id") == run_id) & F.col("status").isin("active", "superseded")).isEmpty():
+            I.ingest(batch.sparkSession, store, batch, project_id, f"watch:{root}", root, run_id=run_id, keep_others=True)
 
     start = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (start.trigger(availableNow=True) if once else start).start()

@@ -90,6 +90,55 @@ def test_watch(spark, folder, tmp_path):
     assert s.active().count() == n
 
 
+def test_watch_shows_the_newest_version_of_each_file(spark, folder, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+
+    def modules(checkpoint):
+        watch.watch(spark, str(folder), s, "proj", str(tmp_path / checkpoint)).awaitTermination()
+        return {r["source_file"]: r["field_values"]["code.imports.modules"] for r in s.query("proj", "imports").collect()}
+
+    assert modules("one") == {"src/a.py": '["os"]'}
+    write(folder, "src/b.py", "import re\n")
+    assert modules("one") == {"src/a.py": '["os"]', "src/b.py": '["re"]'}  # a batch of one file hides no other
+    n = s.active().where("source_file <> 'src/a.py'").count()
+    write(folder, "src/a.py", "import sys\n")
+    assert modules("two") == {"src/a.py": '["sys"]', "src/b.py": '["re"]'}  # all files again, one of them changed
+    assert s.active().where("source_file <> 'src/a.py'").count() == n
+    assert s.read("runs").where("status = 'active'").count() == 1 and s.read("runs").count() == 3
+
+
+def test_a_run_that_is_repeated_is_one_run(spark, folder, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        ingest.ingest(spark, s, S.scan(spark, str(folder)), "proj", run_id="r")
+    totals = store.project_totals(s.read("runs"), store.active_pointers(s.read("runs"))).first()
+    assert s.read("runs").count() == 1 and totals["files"] == 4 and totals["snapshots"] == s.active().count()
+
+
+def test_writers_keep_each_others_rows(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    one = {k: runs(spark, (k, "p", "x", "draft", 1, 1)) for k in "abcd"}
+
+    def ids():
+        return sorted(r["run_id"] for r in s.read("runs").collect())
+
+    s.write("runs", one["a"], after=0)
+    with pytest.raises(store.Changed):
+        s.write("runs", one["b"], after=0)
+    assert ids() == ["a"]
+    other = [one["c"]]
+
+    def change(rows):
+        if other:  # another writer is faster, once
+            s.write("runs", rows.unionByName(other.pop()))
+        return rows.unionByName(one["d"])
+
+    s.update("runs", change)
+    assert ids() == ["a", "c", "d"] and s.version("runs") == 3
+    s.vacuum("runs", keep=1)
+    assert ids() == ["a", "c", "d"] and len(list((tmp_path / "store/runs").glob("rows-*"))) == 1
+
+
 def test_rate_limit(spark):
     times = [(i, "h", i * 0.1) for i in range(101)] + [(200, "h", 60.0), (201, "h", 60.05), (300, "other", 5.0)]
     rows = spark.createDataFrame(times, "id bigint, host string, t double").withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("bigint")))
