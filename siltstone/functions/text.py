@@ -55,10 +55,15 @@ def _entropy(counts: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
+def entropy(data: bytes) -> float:
+    """Shannon entropy of the bytes, 0 to 8; 0 for none."""
+    return _entropy(np.bincount(np.frombuffer(data, np.uint8), minlength=256))
+
+
 @F.pandas_udf(DoubleType())
 def byte_entropy(text: pd.Series) -> pd.Series:
     """Shannon entropy of the UTF-8 bytes, 0 to 8; 0 for empty, null for null."""
-    return text.map(lambda t: _entropy(np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)), na_action="ignore").astype(float)
+    return text.map(lambda t: entropy(t.encode()), na_action="ignore").astype(float)
 
 
 @F.pandas_udf(DoubleType())

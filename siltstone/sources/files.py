@@ -7,14 +7,18 @@ import re
 import zipfile
 import zlib
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from siltstone import registry as R
 from siltstone.functions import paths as P
+from siltstone.functions import shards as S
+from siltstone.functions import text as T
 
 
 def scan(spark: SparkSession, root: str, globs: list[str] | None = None) -> DataFrame:
@@ -65,25 +69,116 @@ def docx_text(data: bytes) -> str:
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
 _SHOWN = re.compile(rb"BT(.*?)ET", re.S)
 _LITERAL = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
+# What marks streams without text; how a file of an extension is cut (all others as plain text).
+_NO_TEXT = (b"/Subtype /Image", b"/Type /Font", b"/Type /FontDescriptor", b"/Type /Metadata")
+SHARDED = {
+    "pdf": "pdf", "docx": "docx", "md": "markdown", "markdown": "markdown", "mdx": "markdown", "html": "html", "htm": "html", "csv": "table", "tsv": "table",
+    "json": "config", "jsonl": "config", "ndjson": "config", "yaml": "config", "yml": "config", "toml": "config", "xml": "config",
+}
+
+
+def _unpacked(raw: bytes) -> bytes:
+    for attempt in (lambda b: zlib.decompress(b), lambda b: zlib.decompress(b, -15)):
+        try:
+            return attempt(raw)
+        except zlib.error:
+            continue
+    return raw
+
+
+def _shown(body: bytes) -> list[str]:
+    """Literal strings of a stream's text objects, of printable ASCII and over two characters."""
+    out = []
+    for block in _SHOWN.findall(body):
+        for s in _LITERAL.findall(block):
+            s = re.sub(rb"\\([()\\])", rb"\1", s)
+            t = "".join(chr(c) for c in s if 32 <= c < 127)
+            if len(t) > 2:
+                out.append(t)
+    return out
 
 
 def pdf_text(data: bytes) -> str:
     """Literal strings of a PDF's text objects, of printable ASCII and over two characters, joined by spaces."""
-    out = []
-    for raw in _STREAM.findall(data):
-        for attempt in (lambda b: zlib.decompress(b), lambda b: zlib.decompress(b, -15), lambda b: b):
-            try:
-                body = attempt(raw)
-                break
-            except zlib.error:
-                continue
-        for block in _SHOWN.findall(body):
-            for s in _LITERAL.findall(block):
-                s = re.sub(rb"\\([()\\])", rb"\1", s)
-                t = "".join(chr(c) for c in s if 32 <= c < 127)
-                if len(t) > 2:
-                    out.append(t)
-    return " ".join(out)
+    return " ".join(t for raw in _STREAM.findall(data) for t in _shown(_unpacked(raw)))
+
+
+def pdf_pages(data: bytes) -> list[tuple[int, str]]:
+    """(page, text) of the streams that show text, counted from 1 over all streams with text objects.
+
+    Streams of images, fonts and metadata are passed over, and what has over seven bits of entropy a byte once unpacked.
+    Pages without strings, or of mostly signs, are counted but left out.
+    """
+    out, page = [], 0
+    for m in _STREAM.finditer(data):
+        head = data[max(0, m.start() - 512) : m.start()].rpartition(b"endstream")[2]
+        body = b"" if any(x in head for x in _NO_TEXT) else _unpacked(m[1])
+        if not body or T.entropy(body) > 7 or not (b"BT" in body and b"ET" in body):
+            continue
+        page += 1
+        text = " ".join(_shown(body)).strip()
+        letters, signs = (sum(map(f, text)) for f in (str.isalpha, lambda c: not c.isalnum() and c != " "))
+        if text and not (letters < 0.2 * len(text) and signs > 0.3 * len(text)):
+            out.append((page, text))
+    return out
+
+
+def docx_parts(data: bytes) -> list[str] | None:
+    """The markup of a DOCX file by lines, cut after the line of a section's end or the one that passes the limit in bytes; None for what isn't such a file."""
+    try:
+        markup = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8", "replace")
+    except (zipfile.BadZipFile, KeyError, zlib.error):
+        return None
+    out, now, size = [], [], 0
+    for line in re.split(r"\r\n|\r|\n", markup):
+        now.append(f"{line}\n")
+        size += len(now[-1].encode())
+        if "w:sectPr" in line or size > S.TEXT_BYTES:
+            out.append("".join(now))
+            now, size = [], 0
+    return [p for p in [*out, "".join(now)] if p.strip()]
+
+
+def table_parts(text: str, rows: int = S.CSV_ROWS) -> list[tuple[int, int, str]]:
+    """(row_start, row_end, text): a table of up to ``rows`` + 1 lines whole, from line 0; else ``rows`` lines each, the header before them. row_end is excluded."""
+    lines = re.split(r"\r\n|\r|\n", text)
+    if len(lines) <= rows + 1:
+        return [(0, len(lines), text)]
+    return [(a, min(a + rows, len(lines)), "\n".join([lines[0], *lines[a : a + rows]])) for a in range(1, len(lines), rows)]
+
+
+def _parts(data: bytes, kind: str) -> list[tuple]:
+    """(page, row_start, row_end, note, text) of a file's shards."""
+    if kind == "pdf":
+        return [(page, None, None, None, text) for page, text in pdf_pages(data)] or [(None, None, None, "fallback", data.decode("utf-8", "replace"))]
+    if kind == "docx":
+        found = docx_parts(data)
+        return [(None, None, None, None, p) for p in found] if found is not None else [(None, None, None, "unreadable", "")]
+    text = data.decode("utf-8", "replace")
+    if kind == "table":
+        return [(None, a, b, None, p) for a, b, p in table_parts(text)]
+    return [(None, None, None, None, p) for p in S.cut(text, kind) or [text]]
+
+
+def file_shards(files: DataFrame) -> DataFrame:
+    """(relative, shard, content_type, page, row_start, row_end, note, text): the shards of each file of (relative, content), cut as its extension asks.
+
+    Null contents count as empty. A PDF without readable pages is one shard of note "fallback", a file that isn't the DOCX it claims to be an empty
+    one of note "unreadable". Rows stay in their partition; a task holds one file's shards at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data, kind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                found = _parts(data.as_py() or b"", kind)
+                columns = [[name] * len(found), list(range(len(found))), [kind] * len(found), *map(list, zip(*found, strict=True))] if found else [[]] * 8
+                types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["relative", "shard", "kind", "page", "row_start", "row_end", "note", "text"])
+
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for e, k in SHARDED.items() for x in (e, k)]), P.extension(F.col("relative"))), F.lit("text"))
+    cut = files.select("relative", "content", kind.alias("kind")).mapInArrow(run, "relative string, shard bigint, kind string, page bigint, row_start bigint, row_end bigint, note string, text string")
+    fixed = F.when(F.col("note") == "unreadable", "unknown").when((F.col("note") == "fallback") | F.col("kind").isin("markdown", "html"), "text").when(F.col("kind").isin("table", "config"), F.col("kind"))
+    return cut.select("relative", "shard", F.coalesce(fixed, T.content_type(F.col("text"))).alias("content_type"), "page", "row_start", "row_end", "note", "text")
 
 
 @F.pandas_udf(StringType())

@@ -92,6 +92,28 @@ def test_office_files():
     assert files.pdf_text(b"%PDF\nstream\n" + body + b"\nendstream") == "Hello (you)" and files.pdf_text(b"") == ""
 
 
+def test_shards_of_files(spark):
+    lines = ["<w:p>a</w:p>", "<w:sectPr/>", "x" * 9000, "end"]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", "\n".join(lines))
+    page = lambda head, body: b"obj << " + head + b" >>\nstream\n" + body + b"\nendstream\n"
+    pdf = b"%PDF\n" + page(b"/Subtype /Image", b"BT (picture) Tj ET") + page(b"/Filter /FlateDecode", zlib.compress(b"BT (first page) Tj ET")) + page(b"", b"no text")
+    pdf += page(b"", b"BT (=====) Tj ET") + page(b"", b"BT (third page) Tj ET")
+    rows = [("a.docx", data.getvalue()), ("b.docx", b"no"), ("c.pdf", pdf), ("d.pdf", b"nothing"), ("e.csv", b"h,i\n" + b"1,2\n" * 10_001), ("f.csv", b"h\n1"), ("g.MD", b"# A\n# B\n"), ("h.json", b"{}"), ("i", None)]
+    found = files.file_shards(spark.createDataFrame(rows, "relative string, content binary")).orderBy("relative", "shard").collect()
+    of = lambda name: [r for r in found if r["relative"] == name]
+    assert [r["text"] for r in of("a.docx")] == ["<w:p>a</w:p>\n<w:sectPr/>\n", "x" * 9000 + "\n", "end\n"]
+    assert [(r["note"], r["content_type"], r["text"]) for r in of("b.docx")] == [("unreadable", "unknown", "")]
+    assert [(r["shard"], r["page"], r["text"]) for r in of("c.pdf")] == [(0, 1, "first page"), (1, 3, "third page")]
+    assert [(r["note"], r["page"], r["text"]) for r in of("d.pdf")] == [("fallback", None, "nothing")]
+    table = [(r["row_start"], r["row_end"], r["content_type"], r["text"].count("\n")) for r in of("e.csv")]
+    assert table == [(1, 10_001, "table", 10_000), (10_001, 10_003, "table", 2)] and all(r["text"].startswith("h,i\n") for r in of("e.csv"))
+    assert [(r["row_start"], r["row_end"], r["text"]) for r in of("f.csv")] == [(0, 2, "h\n1")]
+    assert [(r["content_type"], r["text"]) for r in of("g.MD")] == [("text", "# A\n"), ("text", "# B\n")]
+    assert [(r["content_type"], r["text"]) for r in of("h.json") + of("i")] == [("config", "{}"), ("unknown", "")]
+
+
 def test_logs(spark):
     rows = spark.createDataFrame([(i, "ERROR" if i % 2 else "INFO") for i in range(20)], "i int, level string")
     assert [r["i"] for r in logs.log_tail(rows, ["i"], "level", "ERROR", 3).collect()] == [19, 17, 15]
