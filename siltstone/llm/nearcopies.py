@@ -8,9 +8,12 @@ probability 5e-8, one of 0.9 with 1e-15. Pairs that meet are discarded by size a
 coordinate difference over the radius), the survivors' fingerprints are compared, and what is within the radius is
 verified by exact Jaccard similarity.
 
-Comparing all pairs of a bucket would be quadratic in a large group of copies. So first every class is
-tried against the smallest class that it meets most often, then against a few others of its buckets drawn at random, in rounds;
-each is linear in the number of classes, and a class that is near to many is linked by then. Only classes of a bucket that are still in different groups are tried pair by pair.
+First every class is tried against the smallest class that it meets most often, which is linear in the number of classes and
+links most of a group of copies. What is left are buckets whose classes are still in different groups, such as a family of texts
+of similarity 0.6 to 0.8, which no bands tell from one of 0.8. Their pairs are tried inside the task that a bucket comes to, each
+pair in the first bucket that the two share: no row is made for a pair, only for the links that join two groups. Buckets whose
+sets are more than ``TILE`` numbers are dealt in blocks, and a task holds two blocks. What the filter leaves
+without a partner doesn't send its set.
 """
 
 from __future__ import annotations
@@ -32,10 +35,8 @@ BANDS, ROWS = 32, 4
 #: shingles move by whole ties (96 and five deviations of 8.8).
 RADIUS, RADIUS_SMALL, SMALL = 118, 140, 40
 WORDS, N_PIVOTS = 8, 16
-#: Rounds in which the classes of a bucket are tried against HUBS of them.
-ROUNDS, HUBS = 2, 8
-#: Pairs of a class that a round verifies; those that don't come to it are tried at the end, if still in different groups.
-A_ROUND = 4
+#: Numbers of the sets of a block, each set counting ``EACH`` besides its own.
+TILE, EACH = 1 << 20, 512
 _RNG = np.random.default_rng(20_113)
 _FLIP, _ODD = _RNG.integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _ODD |= np.uint64(1)
@@ -151,10 +152,6 @@ def _by_bucket(rows: DataFrame, make, schema: str) -> DataFrame:
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, schema)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
 def _stars(bucket: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each class of a bucket with the smallest there."""
     first = np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)]
@@ -162,37 +159,101 @@ def _stars(bucket: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c[~first]) for c in (bucket, least, node)], names=["bucket", "a", "b"])
 
 
-def _hubs(seed: int):
-    """Each class of a bucket with ``HUBS`` drawn ones of other groups."""
+_ROW = "bucket bigint, lo bigint, hi bigint, block bigint, node bigint, group bigint, size bigint"
+_CLASS = f"{_ROW}, {', '.join(f'{f} bigint' for f in _F)}, bands array<bigint>"
 
-    def make(bucket: np.ndarray, node: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        drawn = (node.view(np.uint64) ^ _PIVOTS[seed, 0]) * _TIMES[0]
-        order = np.lexsort((drawn, bucket))
-        bucket, node, group = bucket[order], node[order], group[order]
-        start = np.maximum.accumulate(np.where(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)], np.arange(len(node)), 0)) if len(node) else np.zeros(0, int)
-        for k in range(HUBS):
-            hub = np.minimum(start + k, len(node) - 1)
-            use = np.flatnonzero((bucket[hub] == bucket) & (group[hub] != group))
-            yield pa.RecordBatch.from_arrays([pa.array(node[hub[use]]), pa.array(node[use])], names=["a", "b"])
 
-    return make
+def _tiles(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of buckets by pairs of blocks (lo, hi): each block meets each other one and itself once."""
+    rows = rest.join(classes.select("node", "size", *_F, "bands"), "node")
+    weight = rest.join(classes.select("node", "size"), "node").groupBy("bucket").agg(F.ceil(F.sum(F.col("size") + EACH) / TILE).alias("blocks"))
+    rows = rows.join(weight, "bucket").withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "node"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "group", "size", *_F, "bands")
 
 
-def _apart(similarity: float):
-    """Pairs of a bucket in different groups that may be near copies."""
+def _by_tile(rows: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` over the record batch of each tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, at = [], None
+        for batch in batches:
+            keys = np.stack([c.to_numpy() for c in batch.columns[:3]], 1)
+            edges = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)]
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                if start == stop:
+                    continue
+                if parts and at != tuple(keys[start]):
+                    yield from make(pa.concat_batches(parts))
+                    parts = []
+                parts.append(batch.slice(start, stop - start))
+                at = tuple(keys[start])
+        if parts:
+            yield from make(pa.concat_batches(parts))
+
+    n = shuffle_partitions(rows.sparkSession)
+    return rows.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node").mapInArrow(run, schema)
+
+
+class _Tile:
+    """The classes of a tile, with those that each may be a near copy of."""
+
+    def __init__(self, batch: pa.RecordBatch, similarity: float):
+        bucket, lo, hi, self.block, self.node, self.group, self.size, *words = (c.to_numpy() for c in batch.columns[: 7 + WORDS])
+        self.bucket, self.one, self.similarity = bucket[0], lo[0] == hi[0], similarity
+        self.prints = np.stack(words, 1).view(np.uint64)
+        self.bands = batch.column(7 + WORDS).flatten().to_numpy().reshape(-1, BANDS)
+        self.table = pivot_table(self.prints)
+
+    def partners(self, i: int, group: np.ndarray) -> np.ndarray:
+        """Later classes of other groups that the filter leaves and that meet class i in this tile first."""
+        there = group[i + 1 :] != group[i]
+        if not self.one:
+            there &= self.block[i + 1 :] != self.block[i]
+        j = np.flatnonzero(there) + i + 1
+        j = j[self.size[j] >= self.similarity * self.size[i] - 1e-9]
+        i = np.full(len(j), i)
+        ok = near(self.prints[i], self.prints[j], self.size[i], self.size[j], self.table[i], self.table[j], self.similarity)
+        i, j = i[ok], j[ok]
+        same = self.bands[i] == self.bands[j]
+        return j[self.bands[i, same.argmax(1)] == self.bucket]
+
+
+def _with_partners(similarity: float):
+    """The rows of a tile that have a partner there."""
+
+    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        tile, use = _Tile(batch, similarity), np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows - 1):
+            if len(j := tile.partners(i, tile.group)):
+                use[i] = use[j] = True
+        if use.any():
+            yield batch.filter(pa.array(use))
+
+    return make
+
 
-    def make(bucket: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        prints = np.stack(words, 1).view(np.uint64) if len(node) else np.zeros((0, WORDS), np.uint64)
-        table = pivot_table(prints)
-        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
-        for start, stop in zip(edges[:-1], edges[1:], strict=True):
-            for i in range(start, stop - 1):
-                (j,) = np.nonzero(group[i + 1 : stop] != group[i])
-                j += i + 1
-                one = np.full(len(j), i)
-                found = j[near(prints[one], prints[j], size[one], size[j], table[one], table[j], similarity)]
-                if len(found):
-                    yield _pairs(np.full(len(found), node[i]), node[found])
+def _links(similarity: float):
+    """Pairs of the similarity that join two groups of a tile, as many as join all that can be joined."""
+
+    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        tile = _Tile(batch, similarity)
+        column = batch.column(batch.num_columns - 1)
+        ends, flat = column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten().to_numpy().view(np.uint64)
+        group, a, b = tile.group.copy(), [], []
+        for i in range(batch.num_rows - 1):
+            j = tile.partners(i, group)
+            if not len(j):
+                continue
+            own, others = flat[ends[i] : ends[i + 1]], np.concatenate([flat[ends[x] : ends[x + 1]] for x in j])
+            hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+            both = np.add.reduceat(hit, np.r_[0, np.cumsum(tile.size[j])[:-1]], dtype=np.int64)
+            for x in j[both >= similarity * (tile.size[i] + tile.size[j] - both) - 1e-9]:
+                if group[x] != group[i]:
+                    group[group == group[x]] = group[i]
+                    a.append(tile.node[i])
+                    b.append(tile.node[x])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return make
 
@@ -241,18 +302,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # of the smallest classes of its buckets each class is first tried against the one it meets most often
     met = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", F.col("a"))).alias("a"))
     label = components.connect(_confirmed(_sifted(met.select("a", "b"), prints, similarity), sets, similarity))
-    for step in range(ROUNDS + 1):
-        grouped = durable(member.join(label, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("group")))
-        mixed = grouped.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("bucket")
-        rest = grouped.join(mixed, "bucket", "left_semi").select("bucket", "node", "group")
-        if step < ROUNDS:
-            pairs = _sifted(_by_bucket(rest, _hubs(step), "a bigint, b bigint"), prints, similarity)
-            few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("a", "b").alias("h"), "a"))), 1, A_ROUND)
-            pairs = pairs.groupBy("b").agg(few.alias("few")).select(F.explode("few.a").alias("a"), "b")
-        else:
-            rest = rest.join(prints, "node").select("bucket", "node", "group", "size", *_F)
-            pairs = _by_bucket(rest, _apart(similarity), "a bigint, b bigint")
-        # what is linked so far goes in as stars, which take no rounds
-        label = components.connect(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_confirmed(pairs, sets, similarity)))
+    grouped = durable(member.join(label, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("group")))
+    mixed = grouped.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("bucket")
+    rest = grouped.join(mixed, "bucket", "left_semi").select("bucket", "node", "group")
+    left = _by_tile(_tiles(rest, classes), _with_partners(similarity), _CLASS)
+    sent = left.join(sets, "node").select("bucket", "lo", "hi", "block", "node", "group", "size", *_F, "bands", "s")
+    links = _by_tile(sent, _links(similarity), "a bigint, b bigint")
+    # what is linked so far goes in as stars, which take no rounds
+    label = components.connect(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
     grouped = classes.join(label, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     return keep_rows(docs, grouped.groupBy("root").agg(F.min("best").alias("best")).select("best.*"), id_col, text_col)

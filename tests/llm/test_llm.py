@@ -318,6 +318,30 @@ def test_near_dup_stage_finds_copies_of_similarity_080(spark):
     assert got == sorted(set(root)) and len(got) < len(simhash.one_of_each(docs).collect())
 
 
+def test_near_dup_stage_deals_large_buckets_in_blocks(spark, monkeypatch):
+    """A family of texts of similarity 0.5 to 0.9 that all meet, in one block and in many: the same rows stay, those of the exact groups."""
+    rng = np.random.default_rng(9)
+    base = [f"v{n}" for n in range(200)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for at in rng.choice(200, rng.integers(1, 12), replace=False):
+            words[at] = "changed" + str(rng.integers(1 << 30))
+        texts.append(" ".join(words))
+    sets = [five_word_sets(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert 3 < len(set(root)) < len(root) - 3
+    docs = table(spark, texts)
+    for tile in (nearcopies.TILE, 4_000):
+        monkeypatch.setattr(nearcopies, "TILE", tile)
+        assert sorted(r["doc_id"] for r in nearcopies.one_of_each(docs).collect()) == sorted(set(root))
+
+
 def test_rows_without_an_id_or_of_one_id_stay_apart(spark):
     import corpus_pipeline as P
 
