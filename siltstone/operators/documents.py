@@ -159,12 +159,13 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, kind: str = "markdown") -
 
 def is_heading(part: Column) -> Column:
     """A plain-text heading: one short line that starts with an ASCII capital and ends with neither stop nor comma."""
-    return ~part.contains("\n") & (F.octet_length(part) <= HEADING_BYTES) & ~part.rlike("[.,]$") & part.rlike("^[A-Z]")
+    return ~part.contains("\n") & (F.octet_length(part) <= HEADING_BYTES) & ~part.rlike(r"[.,]\z") & part.rlike("^[A-Z]")
 
 
 def plain_nodes(docs: DataFrame, id_col: str, text_col: str, separator: str = "\n\n") -> DataFrame:
     """(id, ord, node_type, node_hash, section, text): parts of plain text as sections and paragraphs, each with the heading it stands under."""
-    parts = docs.select(F.col(id_col), F.posexplode(F.transform(F.split(text_col, separator), F.trim)).alias("ord", "text"))
+    # a bare F.trim would be given each part's index as the characters to trim
+    parts = docs.select(F.col(id_col), F.posexplode(F.transform(F.split(text_col, separator), lambda x: F.trim(x))).alias("ord", "text"))
     parts = parts.where("text <> ''").withColumn("head", is_heading(F.col("text")))
     from pyspark.sql import Window
 

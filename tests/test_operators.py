@@ -34,6 +34,12 @@ def test_plain_text(spark):
     assert out == [("section", "", "Intro"), ("paragraph", "Intro", "Some "), ("paragraph", "Intro", "Étude"), ("paragraph", "Intro", "AAAAA")]
 
 
+def test_plain_text_keeps_digits_at_its_ends(spark):
+    rows = spark.createDataFrame([(1, "0 call 10\n 1 item 21 \nCall 2,\r")], "id bigint, text string")
+    out = [(r["node_type"], r["text"]) for r in documents.plain_nodes(rows, "id", "text", "\n").orderBy("ord").collect()]
+    assert out == [("paragraph", "0 call 10"), ("paragraph", "1 item 21"), ("section", "Call 2,\r")]
+
+
 def test_config():
     top, keys, paths, env = config.json_fields('{"a": {"b": [1, {"c": "${HOME}"}]}, "d": "${X"}')
     assert top == ["a", "d"] and keys == ["a", "b", "c", "d"] and paths == ["a", "a.b", "a.b[1].c", "d"] and env == ["HOME"]
