@@ -132,3 +132,11 @@ def test_bodies_calls_and_instantiations():
     out = code.python_fields(text)
     assert sorted(out["calls"]) == ["helper", "os.path.join"] and sorted(out["instantiates"]) == ["Box", "Path"] and out["constant_values"] == ["LIMIT = 3"]
     assert sorted(out["bodies"]) == ["def helper(x):\n    b = Box()\n    os.path.join('a', x)\n    return Path(x)", "def put(self, x):\n        return helper(x)"]
+
+
+def test_topics_keep_digits_at_their_ends(spark, tmp_path):
+    from siltstone.queries import QUERIES
+
+    spark.createDataFrame([(1, "0 of 10\nChapter 21\nArea 0")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, "Call 100")], "doc_id bigint, text string").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in QUERIES["topics"](spark, str(tmp_path)).collect()) == [(1, "Area 0|Chapter 21"), (2, "Call 100")]
