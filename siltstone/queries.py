@@ -872,8 +872,9 @@ def packed_roundtrip(spark, d):
     """Each document as one packed snapshot, unpacked again."""
     docs = t(spark, d, "documents").where("text is not null")
     values = F.to_json(F.struct(F.col("source").alias("code.file.path"), F.col("n_chars").alias("code.file.loc"), F.array("lang", "source").alias("code.imports.modules")))
-    made = packed.pack_json(T.type_id(F.lit("file_metadata")), values, F.sha2("text", 256), fingerprint.simhash_signed("text"), F.array(F.lit(1), F.lit(2)).cast("array<bigint>"))
-    return docs.select("doc_id", made.alias("data")).select("doc_id", F.octet_length("data").alias("n_bytes"), packed.unpack_json("data").alias("values"))
+    slots = F.array(F.lit(1), F.lit(2)).cast("array<bigint>")
+    rows = docs.select(F.col("doc_id").alias("id"), T.type_id(F.lit("file_metadata")).alias("type_number"), values.alias("values"), F.sha2("text", 256).alias("content_hash"), "text", slots.alias("minhash"))
+    return packed.round_trip(rows).withColumnRenamed("id", "doc_id")
 
 
 @query(

@@ -3,12 +3,14 @@ import json
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.functions import fingerprint, paths, redact, shards
+from siltstone import queries
+from siltstone.functions import batches, fingerprint, paths, redact, shards
 from siltstone.functions import text as T
 from siltstone.sources import packed
 
@@ -148,3 +150,27 @@ def test_paths_that_leave_the_root(spark):
     cases = {"/r/a": True, "/r": True, "/r/../x": False, "/rx": False, "a/b": True, "../x": False, "a/../../r/b": True, "/../r": False, "a\\..\\..\\x": False, "a\0": False, "./.": True}
     rows = spark.createDataFrame([(c,) for c in cases], "p string").select("p", paths.contained(F.col("p"), "/r").alias("ok")).collect()
     assert {r["p"]: r["ok"] for r in rows} == cases
+
+
+def batch(rows, columns):
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=columns)
+
+
+def test_parts_hold_few_rows_and_bytes():
+    rows = batch([(i, "x" * (i % 7)) for i in range(1000)], ["id", "text"])
+    got = list(batches.parts([rows, rows.slice(0, 0)], 256))
+    assert [p.num_rows for p in got] == [256, 256, 256, 232] and pa.Table.from_batches(got).equals(pa.Table.from_batches([rows]))
+    wide = batch([(i, "x" * 1000) for i in range(50)], ["id", "text"])
+    got = list(batches.parts([wide], 256, 5_000))
+    assert max(p.num_rows for p in got) <= 5 and pa.Table.from_batches(got).equals(pa.Table.from_batches([wide]))
+    assert [p.num_rows for p in batches.parts([wide], 256, 10)] == [1] * 50
+
+
+def test_packing_runs_in_one_worker(spark, tmp_path):
+    rows = [(1, FOX, "en", "s", 43), (2, "", "de", "t", 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    made = queries.QUERIES["packed_roundtrip"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
+    stored = {"code.file.path": "s", "code.file.loc": 43, "code.imports.modules": ["en", "s"]}
+    assert [tuple(r) for r in made.where("doc_id = 1").collect()] == [(1, len(packed.pack(219, stored, b"", 0, [])), json.dumps(stored, sort_keys=True))]
