@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.batches import parts
+
 NODES = "id bigint, ord bigint, node_type string, node_hash string, parent_hash string, level bigint, text string"
 HEADING_BYTES = 80
 
@@ -145,7 +147,7 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, kind: str = "markdown") -
     read = {"markdown": markdown, "html": html}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if text.is_valid:
@@ -165,15 +167,15 @@ def is_heading(part: Column) -> Column:
 def plain_nodes(docs: DataFrame, id_col: str, text_col: str, separator: str = "\n\n") -> DataFrame:
     """(id, ord, node_type, node_hash, section, text): parts of plain text as sections and paragraphs, each with the heading it stands under."""
     # a bare F.trim would be given each part's index as the characters to trim
-    parts = docs.select(F.col(id_col), F.posexplode(F.transform(F.split(text_col, separator), lambda x: F.trim(x))).alias("ord", "text"))
-    parts = parts.where("text <> ''").withColumn("head", is_heading(F.col("text")))
+    rows = docs.select(F.col(id_col), F.posexplode(F.transform(F.split(text_col, separator), lambda x: F.trim(x))).alias("ord", "text"))
+    rows = rows.where("text <> ''").withColumn("head", is_heading(F.col("text")))
     from pyspark.sql import Window
 
     so_far = Window.partitionBy(id_col).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("section", F.coalesce(F.last(F.when(F.col("head"), F.col("text")), ignorenulls=True).over(so_far), F.lit("")))
+    rows = rows.withColumn("section", F.coalesce(F.last(F.when(F.col("head"), F.col("text")), ignorenulls=True).over(so_far), F.lit("")))
     kind = F.when(F.col("head"), "section").otherwise("paragraph")
     parent = F.when(F.col("head"), F.lit("")).otherwise(F.col("section"))
-    return parts.select(id_col, F.col("ord").cast("bigint").alias("ord"), kind.alias("node_type"), F.upper(F.sha1(F.concat_ws("|", kind, "text", parent))).alias("node_hash"), parent.alias("section"), "text")
+    return rows.select(id_col, F.col("ord").cast("bigint").alias("ord"), kind.alias("node_type"), F.upper(F.sha1(F.concat_ws("|", kind, "text", parent))).alias("node_hash"), parent.alias("section"), "text")
 
 
 def capital_words(text: Column, most: int = 20) -> Column:
