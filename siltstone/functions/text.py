@@ -5,11 +5,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from siltstone.functions.batches import by_value
+
 #: A word: letters, digits and underscores of any script.
 WORD = r"([\p{L}\p{N}_]+)"
 
@@ -60,27 +62,23 @@ def entropy(data: bytes) -> float:
     return _entropy(np.bincount(np.frombuffer(data, np.uint8), minlength=256))
 
 
-@F.pandas_udf(DoubleType())
-def byte_entropy(text: pd.Series) -> pd.Series:
+@by_value(DoubleType(), pa.float64())
+def byte_entropy(text: str) -> float:
     """Shannon entropy of the UTF-8 bytes, 0 to 8; 0 for empty, null for null."""
-    return text.map(lambda t: entropy(t.encode()), na_action="ignore").astype(float)
+    return entropy(text.encode())
 
 
-@F.pandas_udf(DoubleType())
-def char_entropy(text: pd.Series) -> pd.Series:
+@by_value(DoubleType(), pa.float64())
+def char_entropy(text: str) -> float:
     """Entropy of the characters by the most their number allows (256 kinds at most), 0 to 1; 0 of a single kind."""
-
-    def one(t: str) -> float:
-        counts = np.unique(np.frombuffer(t.encode("utf-32-le"), np.uint32), return_counts=True)[1]
-        return _entropy(counts) / np.log2(min(len(counts), 256)) if len(counts) > 1 else 0.0
-
-    return text.map(one, na_action="ignore").astype(float)
+    counts = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)[1]
+    return float(_entropy(counts) / np.log2(min(len(counts), 256))) if len(counts) > 1 else 0.0
 
 
-@F.pandas_udf(DoubleType())
-def zlib_ratio(text: pd.Series) -> pd.Series:
+@by_value(DoubleType(), pa.float64())
+def zlib_ratio(text: str) -> float:
     """Compressed size by size, at zlib's level 1; 0 for empty."""
-    return text.map(lambda t: len(zlib.compress(t.encode(), 1)) / len(t.encode()) if t else 0.0, na_action="ignore").astype(float)
+    return len(zlib.compress(text.encode(), 1)) / len(text.encode()) if text else 0.0
 
 
 def share(text: Column, but: str) -> Column:
