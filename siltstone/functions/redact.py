@@ -22,6 +22,12 @@ SECRETS = (
     ("private_key", r"-----BEGIN\s+(RSA\s+)?PRIVATE\s+KEY-----"),
     ("connection_string", r"(?i)(mongodb|postgres|mysql|redis)://[^:]+:[^@]+@"),
 )
+# What a text with a secret of that kind holds, as it stands (True) or in small letters. A search for it costs far less than
+# the pattern. Of the letters that case folding also makes of others (k, s, i) only k is in these, which the Kelvin sign becomes in small letters.
+_SIGNS = {
+    "api_key": (False, "key"), "aws_access_key": (True, "AKIA"), "aws_secret": (False, "ecret"), "github_token": (True, "gh"), "generic_secret": (False, "token", "ecret", "word", "wd"),
+    "bearer_token": (False, "bearer"), "jwt_token": (True, "eyJ"), "private_key": (True, "-----BEGIN"), "connection_string": (False, "://"),
+}
 # Patterns of injected instructions.
 INJECTIONS = (
     ("override_instructions", r"(?i)\bignore\s+(all\s+)?(previous|prior|above|earlier|your|my)\s+instructions?\b"),
@@ -78,10 +84,21 @@ def found(text: Column, patterns: tuple[tuple[str, str], ...], least: int = 0) -
     return F.when(F.length(text) >= least, hits).otherwise(F.array().cast("array<string>"))
 
 
+def has_secret(text: Column) -> Column:
+    """Whether a text of at least eight characters holds any secret. Where no pattern matches the text as it is, none matches later in the chain."""
+    low = F.lower(text)
+
+    def hit(name: str, pattern: str) -> Column:
+        exact, *signs = _SIGNS[name]
+        return reduce(lambda a, b: a | b, [(text if exact else low).contains(x) for x in signs]) & text.rlike(_unicode(pattern))
+
+    return (F.length(text) >= 8) & reduce(lambda a, b: a | b, [hit(*p) for p in SECRETS])
+
+
 def redact_secrets(text: Column) -> Column:
     """Every secret as [REDACTED:kind]; a later pattern sees what earlier ones left."""
     out = reduce(lambda t, p: F.regexp_replace(t, _unicode(p[1]), f"[REDACTED:{p[0]}]"), SECRETS, text)
-    return F.when(F.length(text) >= 8, out).otherwise(text)
+    return F.when(has_secret(text), out).otherwise(text)
 
 
 def secret_kinds(text: Column) -> Column:
@@ -90,7 +107,7 @@ def secret_kinds(text: Column) -> Column:
     for name, pattern in SECRETS:
         kinds.append(F.when(t.rlike(_unicode(pattern)), F.lit(name)))
         t = F.regexp_replace(t, _unicode(pattern), f"[REDACTED:{name}]")
-    return F.when(F.length(text) >= 8, F.array_compact(F.array(*kinds))).otherwise(F.array().cast("array<string>"))
+    return F.when(has_secret(text), F.array_compact(F.array(*kinds))).otherwise(F.array().cast("array<string>"))
 
 
 def injection_kinds(text: Column) -> Column:

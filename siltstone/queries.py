@@ -218,7 +218,8 @@ def _kinds_sql() -> str:
 
 @query(_kinds_sql())
 def secret_scan_counts(spark, d):
-    return t(spark, d, "documents").select(F.explode(redact.secret_kinds(text())).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    docs = t(spark, d, "documents").where(redact.has_secret(text()))
+    return docs.select(F.explode(redact.secret_kinds(text())).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: The one pattern with lookahead, which the engine of the SQL lacks, for counting.

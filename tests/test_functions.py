@@ -174,3 +174,11 @@ def test_packing_runs_in_one_worker(spark, tmp_path):
     assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
     stored = {"code.file.path": "s", "code.file.loc": 43, "code.imports.modules": ["en", "s"]}
     assert [tuple(r) for r in made.where("doc_id = 1").collect()] == [(1, len(packed.pack(219, stored, b"", 0, [])), json.dumps(stored, sort_keys=True))]
+
+
+def test_secrets_are_found_by_their_signs(spark):
+    kelvin, long_s = "K", "ſ"
+    texts = [f"API_{kelvin}EY: {'a' * 20}", f"to{kelvin}en = 12345678", f"{long_s}ecret = 12345678", f"pa{long_s}{long_s}word = 12345678", f"redi{long_s}://a:b@", "BEARER x", "nothing here", "key", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", redact.has_secret(F.col("t")).alias("h"), redact.secret_kinds(F.col("t")).alias("k")).orderBy("i").collect()
+    assert [r["k"] for r in rows] == [["api_key"], *[["generic_secret"]] * 3, ["connection_string"], ["bearer_token"], [], [], []]
+    assert [r["h"] for r in rows] == [True] * 6 + [False, False, None]
