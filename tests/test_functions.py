@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from siltstone import queries
 from siltstone.functions import batches, fingerprint, paths, redact, shards
@@ -182,3 +183,8 @@ def test_secrets_are_found_by_their_signs(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", redact.has_secret(F.col("t")).alias("h"), redact.secret_kinds(F.col("t")).alias("k")).orderBy("i").collect()
     assert [r["k"] for r in rows] == [["api_key"], *[["generic_secret"]] * 3, ["connection_string"], ["bearer_token"], [], [], []]
     assert [r["h"] for r in rows] == [True] * 6 + [False, False, None]
+
+
+def test_values_are_read_without_pandas():
+    for f in (fingerprint.simhash_hex, fingerprint.simhash_signed, T.byte_entropy, T.char_entropy, T.zlib_ratio):
+        assert f.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF

@@ -140,3 +140,33 @@ def test_topics_keep_digits_at_their_ends(spark, tmp_path):
     spark.createDataFrame([(1, "0 of 10\nChapter 21\nArea 0")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(2, "Call 100")], "doc_id bigint, text string").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in QUERIES["topics"](spark, str(tmp_path)).collect()) == [(1, "Area 0|Chapter 21"), (2, "Call 100")]
+
+
+class Caught:
+    """Stands in for a table and keeps the function that would run over its batches."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def select(self, *columns):
+        return self
+
+    withColumnRenamed = select
+
+
+def in_parts(table, texts):
+    batch = documents.pa.RecordBatch.from_arrays([documents.pa.array(range(len(texts))), documents.pa.array(texts)], names=["id", "text"])
+    return [b.num_rows for b in table.run(iter([batch]))]
+
+
+def test_nodes_are_made_a_few_pages_at_a_time(spark):
+    sizes = in_parts(documents.nodes(Caught(), "id", "html", "html"), ["<title>T</title><p>x</p>"] * 600)
+    assert sum(sizes) == 1200 and max(sizes) <= 512
+
+
+def test_shards_are_cut_a_few_texts_at_a_time(spark):
+    from siltstone.functions import shards
+
+    sizes = in_parts(shards.shards(Caught(), "id", "html", "html"), ["<p>x</p>"] * 600)
+    assert sum(sizes) == 600 and max(sizes) <= 256
